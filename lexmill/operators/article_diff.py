@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.dates import norm_version_key
 from lexmill.operators.shred import IS_ARTICLE, RecordSpec, article_label, parse_record, record_units
 from lexmill.operators.snapshot_diff import merkle_diff
+from lexmill.session import write_shared
 from lexmill.sources.tables import latest
 
 SPEC = RecordSpec()
@@ -70,32 +71,35 @@ def article_changes(snapshots: DataFrame, depth: int = 3) -> DataFrame:
     rows = snapshots.where("law_id IS NOT NULL AND batch_date IS NOT NULL").select(
         "batch_date", "law_id", "fetched_at", norm_version_key(F.col("version_key")).alias("version_key"), body_hash.alias("body_hash")
     )
-    current = latest(rows, ["batch_date", "law_id"], "fetched_at", ["version_key", "body_hash"])
-    days = [r[0] for r in snapshots.select("batch_date").where("batch_date IS NOT NULL").distinct().orderBy("batch_date").collect()]  # one row per delivery
-    differing = merkle_diff(current, "batch_date", "law_id", F.struct("version_key", "body_hash"), days, depth)
+    # Narrow tables that several steps read are written once, which also keeps the plans small.
+    current = write_shared(latest(rows, ["batch_date", "law_id"], "fetched_at", ["version_key", "body_hash"]), "current")
+    days = [r[0] for r in current.select("batch_date").distinct().orderBy("batch_date").collect()]  # one row per delivery
+    differing = write_shared(merkle_diff(current, "batch_date", "law_id", F.struct("version_key", "body_hash"), days, depth), "differing")
     side = lambda name, p: current.select(F.col("batch_date").alias(name), F.col("law_id").alias("key"), F.col("version_key").alias(f"{p}_key"), F.col("body_hash").alias(f"{p}_hash"))
-    pairs = (
+    pairs = write_shared(
         differing.where("change = 'differs'")
         .join(side("old_snapshot", "old"), ["old_snapshot", "key"])
         .join(side("new_snapshot", "new"), ["new_snapshot", "key"])
-        .select(F.col("new_snapshot").alias("batch_date"), F.col("key").alias("law_id"), "old_key", "new_key", "old_hash", "new_hash")
+        .select(F.col("new_snapshot").alias("batch_date"), F.col("key").alias("law_id"), "old_key", "new_key", "old_hash", "new_hash"),
+        "pairs",
     )
-    compare = (F.col("old_hash") != F.col("new_hash")) & F.col("old_hash").isNotNull() & F.col("new_hash").isNotNull()
-    wanted = pairs.where(compare).select("law_id", F.explode(F.array("old_hash", "new_hash")).alias("body_hash")).distinct()
+    wanted = pairs.where("old_hash != new_hash").select("law_id", F.explode(F.array("old_hash", "new_hash")).alias("body_hash")).distinct()
     bodies = snapshots.select("law_id", F.xxhash64("body_xml").alias("body_hash"), "body_xml").join(wanted, ["law_id", "body_hash"], "left_semi")
     bodies = bodies.groupBy("law_id", "body_hash").agg(F.first("body_xml").alias("body_xml"))
-    parsed = bodies.mapInArrow(_digest_batches, "law_id string, body_hash bigint, articles array<struct<label:string,digest:bigint>>").where("articles IS NOT NULL")
+    parsed = write_shared(bodies.mapInArrow(_digest_batches, "law_id string, body_hash bigint, articles array<struct<label:string,digest:bigint>>").where("articles IS NOT NULL"), "articles")
     half = lambda p: parsed.select("law_id", F.col("body_hash").alias(f"{p}_hash"), F.col("articles").alias(f"{p}_articles"))
-    both = pairs.where(compare).join(half("old"), ["law_id", "old_hash"]).join(half("new"), ["law_id", "new_hash"])
+    both = pairs.join(half("old"), ["law_id", "old_hash"], "left").join(half("new"), ["law_id", "new_hash"], "left")
     label_of = lambda c: F.transform(c, lambda x: x["label"])
     gone = F.array_except(label_of("old_articles"), label_of("new_articles"))
     fresh = F.array_except(label_of("new_articles"), label_of("old_articles"))
     moved = F.array_intersect(label_of(F.array_except("old_articles", "new_articles")), label_of(F.array_except("new_articles", "old_articles")))
     tagged = lambda c, change: F.transform(c, lambda x: F.struct(x.alias("label"), F.lit(change).alias("change")))
-    lines = F.concat(tagged(gone, "removed"), tagged(fresh, "added"), tagged(moved, "changed"))
-    of_articles = both.select("batch_date", "law_id", F.explode(lines).alias("x")).select("batch_date", "law_id", "x.label", "x.change")
-    laws_by_article = of_articles.select("batch_date", "law_id")
-    laws_by_key = pairs.where("old_key != new_key").select("batch_date", "law_id")
-    changed = laws_by_article.unionByName(laws_by_key).distinct().select("batch_date", "law_id", F.lit("").alias("label"), F.lit("changed").alias("change"))
+    # A missing body leaves the list null: nothing is known of its articles.
+    known = F.concat(tagged(gone, "removed"), tagged(fresh, "added"), tagged(moved, "changed"))
+    none = F.array().cast("array<struct<label:string,change:string>>")
+    lines = both.select("batch_date", "law_id", F.coalesce(F.col("old_key") != F.col("new_key"), F.lit(False)).alias("new_version"), F.coalesce(known, none).alias("lines"))
+    of_law = F.array(F.struct(F.lit("").alias("label"), F.lit("changed").alias("change")))
+    told = F.when(F.col("new_version") | (F.size("lines") > 0), F.concat(of_law, F.filter("lines", lambda x: x["label"] != "")))
+    changed = lines.select("batch_date", "law_id", F.explode(told).alias("x")).select("batch_date", "law_id", "x.label", "x.change")
     come_and_gone = differing.where("change != 'differs'").select(F.col("new_snapshot").alias("batch_date"), F.col("key").alias("law_id"), F.lit("").alias("label"), "change")
-    return come_and_gone.unionByName(changed).unionByName(of_articles.where("label != ''"))
+    return come_and_gone.unionByName(changed)

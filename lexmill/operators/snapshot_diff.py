@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import write_shared
+
 FANOUT_BITS = 4
 
 
@@ -54,7 +56,8 @@ def merkle_diff(rows: DataFrame, snapshot: str, key: str, digest: Column, snapsh
         F.pmod(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(17)), 8), F.lit(1 << bits)).cast("int").alias("__range"),
         F.xxhash64(F.col(key), digest).alias("__digest"),
     )
-    leaves = _digests(base, bits, bits)
+    # At most (snapshots x 16**depth) rows: written once, read by every level.
+    leaves = write_shared(_digests(base, bits, bits), "leaves")
     open_nodes = None
     for level in range(1, depth + 1):
         level_bits = FANOUT_BITS * level
