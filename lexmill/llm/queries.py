@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.leak import find_leaks
 from lexmill.llm.normalize import normalize_text
 from lexmill.sources.tables import table
 
@@ -26,5 +27,10 @@ def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normalized(spark, sf_dir, "citations", "id", "law_name").unionByName(_normalized(spark, sf_dir, "findings", "id", "law_name")).select("src", "rec_id", "plain")
 
 
-QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that reproduce at least half of an evaluation item, with the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p7_found": p7_found}
 ORACLE_SQL: dict[str, str] = {}
