@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.leak import find_leaks
 from lexmill.llm.normalize import normalize_text
+from lexmill.llm.quality import document_forms, document_statistics
 from lexmill.sources.tables import table
 
 
@@ -32,5 +33,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p7_found": p7_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents most of whose text is a list, a table or junk rather than prose."""
+    forms = document_forms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "common_words"))
+    return forms.where("form != 'prose'").select("doc_id", "form")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text statistics of every document."""
+    return document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLE_SQL: dict[str, str] = {}
