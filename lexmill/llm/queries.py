@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.leak import find_leaks
+from lexmill.llm.mix import mix
 from lexmill.llm.normalize import normalize_text
 from lexmill.llm.quality import document_forms, document_statistics
 from lexmill.sources.tables import table
@@ -33,6 +34,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens each listed source reaches."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents most of whose text is a list, a table or junk rather than prose."""
     forms = document_forms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "common_words"))
@@ -44,5 +55,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p7_found": p7_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLE_SQL: dict[str, str] = {}
