@@ -21,6 +21,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def let(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def normalize_text(c: Column) -> Column:
     """NFC, one middle dot for its variant U+30FB, a plain space for U+3000; '' for null."""
     return F.translate(nfc(F.coalesce(c, F.lit(""))), "・　", "· ")
@@ -140,10 +145,14 @@ ORIGINAL = "원제정"  # fixed value: no amendment precedes the ordinance
 
 def basis_days(text: Column, own_day: Column) -> Column:
     """struct(was, now, amended_after): the amendment valid at the ordinance's day, the latest, and whether it is later."""
-    days, own = amend_days(text), eight_digits(own_day)
-    now = F.try_element_at(days, F.lit(-1))
-    was = F.try_element_at(F.filter(days, lambda d: (own != "") & (d <= own)), F.lit(-1))
-    return F.when(F.size(days) > 0, F.struct(F.coalesce(was, F.lit(ORIGINAL)).alias("was"), now.alias("now"), ((own != "") & (now > own)).alias("amended_after")))
+    own = eight_digits(own_day)
+
+    def of(days: Column) -> Column:
+        now = F.try_element_at(days, F.lit(-1))
+        was = F.try_element_at(F.filter(days, lambda d: (own != "") & (d <= own)), F.lit(-1))
+        return F.when(F.size(days) > 0, F.struct(F.coalesce(was, F.lit(ORIGINAL)).alias("was"), now.alias("now"), ((own != "") & (now > own)).alias("amended_after")))
+
+    return let(amend_days(text), of)
 
 
 def split_evidence(c: Column) -> Column:
@@ -175,18 +184,20 @@ def narrow_unit(content: Column, hang: Column, ho: Column, mok: Column) -> Colum
     starts_hang, starts_ho, starts_mok = f"^\\s*[{CIRCLED}]", r"^\s*\d+(?:의\d+)?\.", r"^\s*[가-힣]\."
 
     def step(lines: Column, wanted: Column, key, stops: list[str]) -> Column:
-        hit = F.array_position(F.transform(lines, lambda x: F.coalesce(key(x) == wanted, F.lit(False))), True)
-        rest = F.slice(lines, hit.cast("int") + 1, F.greatest(F.size(lines), F.lit(1)))
-        stop = F.array_position(F.transform(rest, lambda x: x.rlike("|".join(stops))), True)
-        length = F.when(stop > 0, stop.cast("int")).otherwise(F.size(lines))
-        found = F.when(hit > 0, F.slice(lines, F.greatest(hit.cast("int"), F.lit(1)), length))
+        def at(hit: Column) -> Column:
+            def rest(after: Column) -> Column:
+                stop = F.array_position(F.transform(after, lambda x: x.rlike("|".join(stops))), True).cast("int")
+                return F.slice(lines, hit, F.when(stop > 0, stop).otherwise(F.size(lines)))
+
+            return F.when(hit > 0, let(F.slice(lines, hit + 1, F.greatest(F.size(lines), F.lit(1))), rest))
+
+        found = let(F.array_position(F.transform(lines, lambda x: F.coalesce(key(x) == wanted, F.lit(False))), True).cast("int"), at)
         return F.when(wanted.isNull() | (wanted == ""), lines).otherwise(found)
 
     circle = F.when(hang.between(1, 20), F.substring(F.lit(CIRCLED), hang.cast("int"), F.lit(1))).otherwise(F.when(hang.isNotNull() & (hang != 0), F.lit("-")))
-    lines = F.split(content, "\n")
-    lines = step(lines, circle, lambda x: F.regexp_extract(x, f"^\\s*([{CIRCLED}])", 1), [starts_hang])
-    lines = step(lines, ho, lambda x: F.regexp_extract(x, r"^\s*(\d+(?:의\d+)?)\.", 1), [starts_ho, starts_hang])
-    lines = step(lines, mok, lambda x: F.regexp_extract(x, r"^\s*([가-힣])\.", 1), [starts_mok, starts_ho, starts_hang])
-    text = F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")
+    by_hang = lambda lines: step(lines, circle, lambda x: F.regexp_extract(x, f"^\\s*([{CIRCLED}])", 1), [starts_hang])
+    by_ho = lambda lines: step(lines, ho, lambda x: F.regexp_extract(x, r"^\s*(\d+(?:의\d+)?)\.", 1), [starts_ho, starts_hang])
+    by_mok = lambda lines: step(lines, mok, lambda x: F.regexp_extract(x, r"^\s*([가-힣])\.", 1), [starts_mok, starts_ho, starts_hang])
+    joined = lambda lines: F.nullif(F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", ""), F.lit(""))
     asked = (F.coalesce(hang, F.lit(0)) != 0) | (F.coalesce(ho, F.lit("")) != "") | (F.coalesce(mok, F.lit("")) != "")
-    return F.when(asked & (text != ""), text)
+    return F.when(asked, let(F.split(content, "\n"), lambda a: let(by_hang(a), lambda b: let(by_ho(b), lambda c: joined(by_mok(c))))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import basis_days, day_of, narrow_unit, without_blanks
+from lexmill.functions.text import basis_days, day_of, let, narrow_unit, without_blanks
 
 
 def _verdict(severity: str, change: str = "") -> Column:
@@ -19,34 +19,40 @@ def check_clause(article: Column, moved: Column, own_day: Column, hang: Column,
     label it went to or null; own_day: the ordinance's day. First match counts.
     """
     content = article["content"]
-    unit = narrow_unit(content, hang, ho, mok)
-    days, whole = basis_days(F.coalesce(unit, content), own_day), basis_days(content, own_day)
-    return (
-        F.when(article.isNull() & moved.isNotNull(), _verdict("mechanical"))
-        .when(article.isNull(), _verdict("check"))
-        .when(day_of(own_day).isNull(), _verdict("check"))
-        .when(days["amended_after"], _verdict("review"))
-        .when(days.isNotNull(), _verdict("current"))
-        .when(unit.isNotNull() & F.coalesce(whole["amended_after"], F.lit(False)), _verdict("check", "호미확인"))
-        .when(day_of(article["enforce_date"]) > day_of(own_day), _verdict("check"))
-        .otherwise(_verdict("current"))
-    )
+
+    def judged(unit: Column, days: Column) -> Column:
+        after = F.coalesce(basis_days(content, own_day)["amended_after"], F.lit(False))
+        return (
+            F.when(article.isNull() & moved.isNotNull(), _verdict("mechanical"))
+            .when(article.isNull(), _verdict("check"))
+            .when(day_of(own_day).isNull(), _verdict("check"))
+            .when(days["amended_after"], _verdict("review"))
+            .when(days.isNotNull(), _verdict("current"))
+            .when(unit.isNotNull() & after, _verdict("check", "호미확인"))
+            .when(day_of(article["enforce_date"]) > day_of(own_day), _verdict("check"))
+            .otherwise(_verdict("current"))
+        )
+
+    return let(narrow_unit(content, hang, ho, mok), lambda unit: let(basis_days(F.coalesce(unit, content), own_day), lambda days: judged(unit, days)))
 
 
 def diff_clause(now: Column, then: Column, moved: Column, own_day: Column, hang: Column, ho: Column, mok: Column) -> Column:
     """Judge a clause by the text then and now (null if the label is missing); moved: a current article of the old text."""
-    days = basis_days(now, own_day)
-    part_now, part_then = narrow_unit(now, hang, ho, mok), narrow_unit(then, hang, ho, mok)
-    narrowed = part_now.isNotNull() & part_then.isNotNull()
     same, changed = _verdict("current", "동일"), _verdict("review", "내용변경")
-    return (
-        F.when(now.isNull() & then.isNotNull() & moved.isNotNull(), _verdict("review", "번호이동"))
-        .when(now.isNull() & then.isNotNull(), _verdict("review", "삭제"))
-        .when(now.isNull(), _verdict("check", "미확인"))
-        .when(narrowed & (without_blanks(part_now) == without_blanks(part_then)), same)
-        .when(narrowed, changed)
-        .when(days["amended_after"], changed)
-        .when(days.isNotNull(), same)
-        .when(then.isNotNull() & (without_blanks(now) != without_blanks(then)), changed)
-        .otherwise(same)
-    )
+
+    def judged(days: Column, part_now: Column, part_then: Column) -> Column:
+        narrowed = part_now.isNotNull() & part_then.isNotNull()
+        return (
+            F.when(now.isNull() & then.isNotNull() & moved.isNotNull(), _verdict("review", "번호이동"))
+            .when(now.isNull() & then.isNotNull(), _verdict("review", "삭제"))
+            .when(now.isNull(), _verdict("check", "미확인"))
+            .when(narrowed & (without_blanks(part_now) == without_blanks(part_then)), same)
+            .when(narrowed, changed)
+            .when(days["amended_after"], changed)
+            .when(days.isNotNull(), same)
+            .when(then.isNotNull() & (without_blanks(now) != without_blanks(then)), changed)
+            .otherwise(same)
+        )
+
+    unit = lambda text: narrow_unit(text, hang, ho, mok)
+    return let(basis_days(now, own_day), lambda d: let(unit(now), lambda a: let(unit(then), lambda b: judged(d, a, b))))

@@ -84,4 +84,45 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(stated.unionByName(borrowed), versions, "law_id", "day", "start", "version_mst").select("id", "version_mst")
 
 
+_PARTED = r"^\s*(\d{4})\s*[.\-/년]\s*(\d{1,2})\s*[.\-/월]\s*(\d{1,2})\s*[.일]?\s*$"
+_KEY = r"^\s*(\d{4})\s*[.\-/년]?\s*(\d{1,2})\s*[.\-/월]?\s*(\d{1,2})\s*[.일]?\s*\|\s*제?\s*(\d+)\s*호?\s*$"
+
+
+def _day_sql(c: str) -> str:
+    part = lambda g, n: f"lpad(regexp_extract({c}, '{_PARTED}', {g}), {n}, '0')"
+    read = f"CASE WHEN regexp_matches({c}, '^\\s*\\d{{8}}\\s*$') THEN trim({c}) WHEN regexp_matches({c}, '{_PARTED}') THEN {part(1, 4)} || {part(2, 2)} || {part(3, 2)} END"
+    return f"(CASE WHEN ({read}) >= '1' AND try_strptime(({read}), '%Y%m%d') IS NOT NULL THEN ({read}) END)"
+
+
+def _key_sql(c: str) -> str:
+    part = lambda g, n: f"lpad(regexp_extract({c}, '{_KEY}', {g}), {n}, '0')"
+    return f"(CASE WHEN regexp_matches({c}, '{_KEY}') THEN {part(1, 4)} || {part(2, 2)} || {part(3, 2)} || '|' || regexp_extract({c}, '{_KEY}', 4)::BIGINT END)"
+
+
+def _leaf_sql(tag: str) -> str:
+    return f"regexp_extract(split_part(body_xml, '<조문>', 1), '<{tag}(?:\\s[^>]*)?>\\s*(?:<!\\[CDATA\\[)?\\s*([^<\\]]*?)\\s*(?:\\]\\]>)?\\s*</{tag}>', 1)"
+
+
+_BODY_KEY = _leaf_sql("공포일자") + " || '|' || " + _leaf_sql("공포번호")
+_SEEN_SQL = f"""SELECT law_id, coalesce({_key_sql("version_key")}, {_key_sql("(" + _BODY_KEY + ")")}) AS version_key, slot, fetched_at, {_day_sql(_leaf_sql("시행일자"))} AS day FROM (
+ SELECT law_id, version_key, body_xml, fetched_at, dense_rank() OVER (ORDER BY batch_date) - 1 AS slot FROM law_snapshots WHERE batch_date IS NOT NULL
+ UNION ALL SELECT law_id, version_key, body_xml, fetched_at, (SELECT count(DISTINCT batch_date) FROM law_snapshots) FROM laws)"""
+
+ORACLE_SQL = {
+    "p2_runs": f"""WITH s AS (SELECT DISTINCT law_id, version_key, slot FROM ({_SEEN_SQL}) WHERE law_id IS NOT NULL AND version_key IS NOT NULL),
+ g AS (SELECT *, slot - row_number() OVER (PARTITION BY law_id, version_key ORDER BY slot) AS island FROM s)
+ SELECT law_id, version_key, min(slot) AS first_slot, max(slot) AS last_slot FROM g GROUP BY law_id, version_key, island""",
+    "p2_found": f"""WITH seen AS ({_SEEN_SQL}), c AS (
+ SELECT law_id, version_key, arg_max(day, fetched_at) FILTER (day IS NOT NULL) AS body_day, NULL AS told FROM seen GROUP BY 1, 2
+ UNION ALL SELECT law_id, {_key_sql("old_key")}, NULL, NULL FROM law_changes
+ UNION ALL SELECT law_id, {_key_sql("new_key")}, NULL, arg_max({_day_sql("new_enforce")}, detected_at) FILTER ({_day_sql("new_enforce")} IS NOT NULL) FROM law_changes GROUP BY 1, 2),
+ v AS (SELECT law_id, version_key, coalesce(max(body_day), max(told), '') AS valid_from FROM c WHERE law_id IS NOT NULL AND version_key IS NOT NULL GROUP BY 1, 2),
+ d AS (SELECT law_id, valid_from, lead(valid_from) OVER (PARTITION BY law_id ORDER BY valid_from) AS following FROM (SELECT DISTINCT law_id, valid_from FROM v))
+ SELECT v.law_id, v.version_key, v.valid_from, coalesce(strftime(strptime(d.following, '%Y%m%d') - INTERVAL 1 DAY, '%Y%m%d'), '99991231') AS valid_to FROM v JOIN d USING (law_id, valid_from)""",
+    "p6_found": f"""WITH o AS (SELECT mst, arg_max(day, fetched_at) AS day FROM (SELECT mst, fetched_at, {_day_sql("enforce_date")} AS day FROM ordinances) WHERE day IS NOT NULL GROUP BY mst),
+ f AS (SELECT id, law_id, coalesce({_day_sql("ord_enforce")}, o.day) AS day FROM findings LEFT JOIN o USING (mst) WHERE law_id IS NOT NULL),
+ v AS (SELECT law_id, version_mst, {_day_sql("d")} AS start FROM (SELECT law_id, version_mst, arg_max(coalesce(enforce_date, ''), fetched_at) AS d FROM law_versions GROUP BY 1, 2)),
+ s AS (SELECT law_id, start, min(version_mst) AS version_mst FROM v WHERE start IS NOT NULL GROUP BY 1, 2)
+ SELECT id, arg_max(version_mst, start) AS version_mst FROM f JOIN s ON f.law_id = s.law_id AND s.start <= f.day GROUP BY id""",
+}
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p6_found": p6_found}
