@@ -26,7 +26,7 @@ def asof_join(events: DataFrame, changes: DataFrame, entity: str, event_day: str
     hot entity is spread over its years; adaptive execution splits what is left.
 
     Inner join: events with a null entity or day, or before the first start, drop out.
-    All columns of ``events`` stay, ``value`` is added.
+    All columns of ``events`` stay, ``value`` is added (in place of a column of that name).
     """
     spans = validity_intervals(changes, entity, start, value).select(
         F.col(entity).alias("__e"), F.col(start).alias("__from"), F.col("end").alias("__to"), F.col(value).alias("__value")
@@ -44,4 +44,4 @@ def asof_join(events: DataFrame, changes: DataFrame, entity: str, event_day: str
         & (probes[event_day] >= buckets["__from"])
         & (buckets["__to"].isNull() | (probes[event_day] < buckets["__to"]))
     )
-    return probes.join(buckets, hit, "inner").select(*[probes[c] for c in events.columns], F.col("__value").alias(value))
+    return probes.join(buckets, hit, "inner").select(*[probes[c] for c in events.columns if c != value], F.col("__value").alias(value))

@@ -101,15 +101,14 @@ def closest_entries(readings: DataFrame, entries: DataFrame, veto: DataFrame | N
         f"""SELECT * FROM {{c}} WHERE slips <= CASE WHEN length(text) < 6 THEN 0 WHEN length(text) < 10 THEN 1 ELSE {slips} END""",
         c=counted,
     )
+    cases = run_sql(spark, "SELECT o.value, k.entry_id, k.slips, k.changed FROM {o} o JOIN {k} k ON o.reading = k.reading", o=open_, k=meant)
     if veto is not None:
-        meant = run_sql(
+        # Any way to read a value that begins with another word speaks against the entry.
+        cases = run_sql(
             spark,
-            "SELECT s.* FROM {s} s LEFT ANTI JOIN {v} v ON v.entry_id = s.entry_id AND left(s.reading, length(v.word)) = v.word",
-            s=meant, v=veto,
+            """SELECT c.* FROM {c} c LEFT ANTI JOIN (SELECT p.value, v.entry_id FROM {p} p JOIN {v} v ON p.prefix = v.word) x
+               ON c.value = x.value AND c.entry_id = x.entry_id""",
+            c=cases, v=veto, p=run_sql(spark, "SELECT DISTINCT o.value, left(o.reading, s.size) AS prefix FROM {o} o LEFT SEMI JOIN {c} c ON o.value = c.value LATERAL VIEW explode(sequence(1, length(o.reading))) s AS size", o=open_, c=cases),
         )
-    best = run_sql(
-        spark,
-        "SELECT o.value, min_by(k.entry_id, struct(k.slips, k.changed, k.entry_id)) AS entry_id FROM {o} o JOIN {k} k ON o.reading = k.reading GROUP BY o.value",
-        o=open_, k=meant,
-    )
+    best = run_sql(spark, "SELECT value, min_by(entry_id, struct(slips, changed, entry_id)) AS entry_id FROM {c} GROUP BY value", c=cases)
     return run_sql(spark, "SELECT value, min(entry_id) AS entry_id FROM {x} GROUP BY value UNION ALL SELECT value, entry_id FROM {b}", x=exact, b=best)

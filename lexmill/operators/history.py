@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.dates import day_before
 
 
-def coalesce_runs(df: DataFrame, keys: list[str], slot: str, slots: int, carry: dict[str, Column] | None = None, carry_merge: str = "max") -> DataFrame:
+def coalesce_runs(df: DataFrame, keys: list[str], slot: str, slots: int, carry: dict[str, Column] | None = None) -> DataFrame:
     """Merge neighbouring unit intervals of equal ``keys`` over logarithmic rounds.
 
     A row says that the payload (part of ``keys``, beside the entity) was observed in
@@ -50,7 +50,9 @@ def close_intervals(versions: DataFrame, entity: str, start: str, end: str = "va
     ``start`` is ``YYYYMMDD`` or '' for unknown, which comes first. Versions of one
     start share their end. The window runs over the distinct starts of an entity, of
     which there are at most as many as days in the calendar, however many rows it has.
+    A null entity is one of its own, a null start gives no row; a column named ``end`` is replaced.
     """
+    versions = versions.drop(end)
     starts = versions.select(entity, start).distinct()
     following = F.lead(start).over(Window.partitionBy(entity).orderBy(start))
     closed = starts.withColumn(end, F.coalesce(day_before(following), F.lit(forever)))
