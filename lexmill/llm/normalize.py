@@ -216,8 +216,9 @@ def _compose(points: np.ndarray, offsets: np.ndarray, t: Tables) -> tuple[np.nda
 def stand_ins(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ASCII signs that stand in for another of the same look, and what they stand for.
 
-    l, I, | and O, o among digits, or between 제 and a unit (조, 항, 호), are digits; 1, l, |
-    and 0 among capital letters are I and O.
+    l, I, | and O, o among digits, or between 제 and a unit (조, 항, 호), are digits; l and |
+    beside a capital letter, 1 and 0 between two, are I and O. A number behind a letter (B1,
+    G20) is a number.
     """
     n = len(points)
     if not n:
@@ -239,9 +240,11 @@ def stand_ins(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     numeric = (digit(before) & ~letter(after)) | (digit(after) & ~letter(before)) | ((before == ordinal) & unit)
     is_one, is_nought = one[maybe], nought[maybe]
     as_digit = (is_one | is_nought) & numeric & first & last
-    caps = (capital(before) & ~digit(after) & ~np.isin(after, (ord("-"),))) | (capital(after) & ~digit(before))
+    sure = lambda c: capital(c) & (c != 73) & (c != 79)
     low_l = (points[maybe] == 108) | (points[maybe] == 124)
-    as_capital = ~as_digit & caps & (digit_one[maybe] | digit_nought[maybe] | low_l) & ~((after >= 97) & (after <= 122)) & ~((before >= 97) & (before <= 122))
+    beside = (sure(before) & ~digit(after) & ~letter(after)) | (sure(after) & ~digit(before) & ~letter(before)) | (sure(before) & capital(after)) | (capital(before) & sure(after))
+    between = (sure(before) & capital(after)) | (capital(before) & sure(after))
+    as_capital = ~as_digit & ((low_l & beside) | ((digit_one[maybe] | digit_nought[maybe]) & between))
     to = np.where(as_digit, np.where(is_one, 49, 48), np.where(digit_nought[maybe], 79, 73)).astype(np.uint32)
     hit = as_digit | as_capital
     return maybe[hit], to[hit]

@@ -39,6 +39,8 @@ BARS = "|│┃║"
 DRAWN = (0x2500, 0x2580)
 INSIDE = "·-./,:()「」『』%~&@_+'’" + '"'  # signs that stand inside a word in sound text
 
+LONG = 300  # words or lines from which on a text need not bring new ones
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -169,7 +171,7 @@ def statistics(texts: pa.Array, common: np.ndarray) -> np.ndarray:
     out["words"], out["mean_word"] = words, per(word_sum((b - a).astype(float)), words)
     out["common"] = per(word_sum(_member(hashes, common).astype(float)), words)
     out["furniture"] = per(word_sum(_member(hashes, _furniture()).astype(float)), words)
-    out["distinct_words"] = per(_distinct(owner, hashes, n), words)
+    out["distinct_words"] = np.minimum(1.0, per(_distinct(owner, hashes, n), np.minimum(words, LONG)))
     last = points[np.maximum(end - 1, 0)] if len(a) else points[:0]
     out["endings"] = per(word_sum((c["ending"][last] & (end - a >= 2)).astype(float)), words)
     running = np.concatenate(([0], np.cumsum(kinds["digit"]))), np.concatenate(([0], np.cumsum(kinds["latin"])))
@@ -198,7 +200,7 @@ def statistics(texts: pa.Array, common: np.ndarray) -> np.ndarray:
     length = (final - first + 1).astype(float)
     out["lines"], out["mean_line"] = lines, per(line_sum(length), lines)
     out["ended_lines"] = per(line_sum(c["stop"][points[final]].astype(float)), lines)
-    out["distinct_lines"] = per(_distinct(line_owner, hasher.of(first, final + 1), n), lines)
+    out["distinct_lines"] = np.minimum(1.0, per(_distinct(line_owner, hasher.of(first, final + 1), n), np.minimum(lines, LONG)))
     tab, bar, comma, semicolon = points == 9, c["bar"][points], (points == 44) | (points == 0x3001), points == 59
     gap_a, gap_b = _spans(points == 32, cut)
     gap = np.zeros(len(points), bool)
