@@ -204,7 +204,7 @@ def statistics(texts: pa.Array, common: np.ndarray) -> np.ndarray:
     tab, bar, comma, semicolon = points == 9, c["bar"][points], (points == 44) | (points == 0x3001), points == 59
     gap_a, gap_b = _spans(points == 32, cut)
     gap = np.zeros(len(points), bool)
-    gap[gap_a[gap_b - gap_a >= 3]] = True
+    gap[gap_a[gap_b - gap_a >= 2]] = True
     colon = np.zeros(len(points), bool)
     if len(points) > 1:
         colon[:-1] = (points[:-1] == 58) & space[1:]
@@ -288,7 +288,7 @@ def weak_forms(x: np.ndarray) -> np.ndarray:
     out[loose & (s["even_lines"] >= 0.5) & (s["lines"] >= 3)] = 2
     out[loose & (s["field_lines"] >= 0.5) & (s["lines"] >= 3)] = 2
     noise = (s["foreign"] > 0.3) | (s["symbols"] > 0.6) | (s["rare"] > 0.1) | (s["furniture"] > 0.4) | ((s["codes"] > 0.25) & (s["endings"] < 0.1)) | (s["long_words"] > 0.5) | ((s["broken"] > 0.25) & (s["even_lines"] < 0.3))
-    over = (s["distinct_words"] < 0.15) & (s["words"] >= 12) & (s["numbers"] < 0.2)
+    over = (s["distinct_words"] < 0.15) & (s["words"] >= 12) & (s["numbers"] < 0.2) & (s["even_lines"] < 0.3) & (s["field_lines"] < 0.3)
     out[noise | over] = 3
     out[s["words"] == 0] = -1
     return out
