@@ -188,3 +188,12 @@ def token_diff(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "law_snapshots").where("name IS NOT NULL").groupBy("law_id").agg(F.min_by("name", F.struct("fetched_at", "name")).alias("then"))
     now = table(spark, sf, "laws").where("name IS NOT NULL").select("law_id", F.col("name").alias("now"))
     return s.join(now, "law_id").select("law_id", D.unified_html(D.token_diff("then", "now")).alias("html"))
+
+
+@R.query()
+def trace_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored findings beside the replayed judgement of the same clause, and whether they agree."""
+    replayed = findings_end_to_end(spark, sf).groupBy("mst", "law_id", F.col("article_no").alias("ord_clause"), F.col("label").alias("clause_label")).agg(F.min(F.struct("ord_seq", "severity", "change_type")).alias("r"))
+    stored = table(spark, sf, "findings").select("id", "mst", "law_id", "ord_clause", "clause_label", F.col("severity").alias("stored"))
+    both = stored.join(replayed, ["mst", "law_id", "ord_clause", "clause_label"])
+    return both.select("id", "stored", F.col("r.severity").alias("replayed"), (F.col("stored") == F.col("r.severity")).alias("match"))
