@@ -17,7 +17,7 @@ def _only_in(a: str, b: str) -> str:
     return f"flatten(transform(array_distinct(split({a}, '')), x -> array_repeat(x, greatest(0, {count(a)} - {count(b)}))))"
 
 
-def closest_entries(readings: DataFrame, entries: DataFrame, veto: DataFrame | None = None, edits: int = MAX_EDITS, slips: int = MAX_SLIPS) -> DataFrame:
+def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame | None = None, edits: int = MAX_EDITS, slips: int = MAX_SLIPS) -> DataFrame:
     """For each entered value the entry it means, by a partition-based pigeonhole join.
 
     readings(value, reading): one or more ways to read an entered value, already in
@@ -28,10 +28,12 @@ def closest_entries(readings: DataFrame, entries: DataFrame, veto: DataFrame | N
     number of the segment, substring), and the built-in levenshtein verifies. What then
     counts are slips, at most ``slips`` (one in texts under 10 characters, none under 6):
     a syllable left out or doubled, neighbours exchanged, or one letter of a syllable
-    changed; other edits make another name.
+    changed; other edits make another name. Slips are counted from the characters that
+    differ and the edits beyond them, of which an exchange takes two.
 
-    veto(word, entry_id): a reading that begins with a word of the list other than the
-    entry's own names something else, however close; exact readings are not vetoed.
+    places(entry_id, word): the place an entry is named after, two syllables and the rest.
+    A reading that begins with another place the list's own parts can form names something
+    else, however close; exact readings are not held against this.
 
     Result: (value, entry_id) with the fewest slips, then the fewest letters changed, then
     the smallest id; values that mean no entry are left out. Nulls match nothing; an
@@ -90,9 +92,10 @@ def closest_entries(readings: DataFrame, entries: DataFrame, veto: DataFrame | N
     counted = run_sql(
         spark,
         """SELECT reading, entry_id, text, edits, changed,
-                  CASE WHEN edits >= most AND (edits - most) % 2 = 0 AND swapped >= least_ AND swapped_back >= least_
-                            AND (size(added) <= size(missing) OR forall(added, c -> instr(text, c) > 0 OR exists(missing, d -> true))) THEN most + (edits - most) DIV 2
-                       WHEN edits >= all_ AND (edits - all_) % 2 = 0 AND doubled THEN all_ + (edits - all_) DIV 2 END AS slips
+                  CASE WHEN edits >= most AND swapped >= least_ AND swapped_back >= least_
+                            AND (size(added) <= size(missing) OR forall(added, c -> instr(text, c) > 0 OR exists(missing, d -> true))) THEN most + (edits - most + 1) DIV 2
+                       WHEN edits >= all_ AND doubled THEN all_ + (edits - all_ + 1) DIV 2
+                       WHEN edits = 1 AND changed = 2 THEN 2 END AS slips
            FROM {j}""",
         j=judged,
     )
@@ -102,13 +105,29 @@ def closest_entries(readings: DataFrame, entries: DataFrame, veto: DataFrame | N
         c=counted,
     )
     cases = run_sql(spark, "SELECT o.value, k.entry_id, k.slips, k.changed FROM {o} o JOIN {k} k ON o.reading = k.reading", o=open_, k=meant)
-    if veto is not None:
-        # Any way to read a value that begins with another word speaks against the entry.
+    if places is not None:
+        # Any way to read a value that begins with another place speaks against the entry. Parts meet by
+        # equality: the first two characters with the heads, what follows with the tails.
+        begun = run_sql(
+            spark,
+            """SELECT DISTINCT o.value, o.reading, left(o.reading, 2) AS head, substr(o.reading, 3, n.size) AS tail
+               FROM {o} o LEFT SEMI JOIN {c} c ON o.value = c.value LATERAL VIEW explode(sequence(1, greatest(1, length(o.reading) - 2))) n AS size""",
+            o=open_, c=cases,
+        )
+        formed = run_sql(
+            spark,
+            """SELECT b.value, b.reading, concat(b.head, b.tail) AS place FROM {b} b
+               LEFT SEMI JOIN (SELECT left(word, 2) AS head FROM {p} WHERE length(word) > 3) h ON b.head = h.head
+               LEFT SEMI JOIN (SELECT substr(word, 3) AS tail FROM {p} WHERE length(word) > 3) t ON b.tail = t.tail""",
+            b=begun, p=places,
+        )
         cases = run_sql(
             spark,
-            """SELECT c.* FROM {c} c LEFT ANTI JOIN (SELECT p.value, v.entry_id FROM {p} p JOIN {v} v ON p.prefix = v.word) x
+            """SELECT c.* FROM {c} c LEFT ANTI JOIN (
+                   SELECT k.value, k.entry_id FROM {c} k JOIN {f} f ON k.value = f.value JOIN {p} p ON k.entry_id = p.entry_id
+                   WHERE NOT startswith(p.word, f.place) AND NOT startswith(f.reading, p.word)) x
                ON c.value = x.value AND c.entry_id = x.entry_id""",
-            c=cases, v=veto, p=run_sql(spark, "SELECT DISTINCT o.value, left(o.reading, s.size) AS prefix FROM {o} o LEFT SEMI JOIN {c} c ON o.value = c.value LATERAL VIEW explode(sequence(1, length(o.reading))) s AS size", o=open_, c=cases),
+            c=cases, f=formed, p=places,
         )
     best = run_sql(spark, "SELECT value, min_by(entry_id, struct(slips, changed, entry_id)) AS entry_id FROM {c} GROUP BY value", c=cases)
     return run_sql(spark, "SELECT value, min(entry_id) AS entry_id FROM {x} GROUP BY value UNION ALL SELECT value, entry_id FROM {b}", x=exact, b=best)

@@ -43,19 +43,10 @@ def _entries(register: DataFrame) -> DataFrame:
 
 
 def _places(register: DataFrame) -> DataFrame:
-    """(word, entry_id): place words the list could form, other than the entry's own.
-
-    A place is the two syllables a name begins with and the rest of its first word (up to
-    the middle dot). The list is fixed in size, and so is this product of its own words.
-    """
+    """(entry_id, word): the place an entry is named after, the first word of its name up to the middle dot."""
     return run_sql(
         register.sparkSession,
-        """WITH w AS (SELECT reg_id, regexp_extract(official_name, '^[^ ·]+', 0) AS word FROM {r} WHERE official_name IS NOT NULL),
-                heads AS (SELECT DISTINCT left(word, 2) AS head FROM w WHERE length(word) >= 4),
-                tails AS (SELECT DISTINCT substr(word, 3) AS tail FROM w WHERE length(word) >= 4)
-           SELECT concat(left(w.word, 2), t.tail) AS word, w.reg_id AS entry_id FROM w JOIN tails t ON concat(left(w.word, 2), t.tail) != w.word AND NOT startswith(w.word, concat(left(w.word, 2), t.tail))
-           UNION
-           SELECT concat(h.head, substr(w.word, 3)), w.reg_id FROM w JOIN heads h ON h.head != left(w.word, 2)""",
+        "SELECT reg_id AS entry_id, regexp_extract(official_name, '^[^ ·]+', 0) AS word FROM {r} WHERE official_name IS NOT NULL",
         r=register,
     )
 

@@ -100,7 +100,7 @@ def resolve_specs(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
 def carry_over(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("carried", F.when(F.col("event_type") == "purchase", F.col("value")))
-    return C.carry_forward(e, "user_id", ["ts", "event_id"], "carried").select("event_id", "carried")
+    return C.carry_forward(e, "user_id", ["ts", "event_id"], "carried", F.to_date("ts")).select("event_id", "carried")
 
 
 @R.query(f"""SELECT l_orderkey * 100000 + n * 10000 + h * 1000 + g * 10 + o AS doc, '제' || n || '조' AS label, h % 2 = 1 AND o > 0 AS changed, '2024010' || g AS day FROM {_ROWS}""")

@@ -241,9 +241,9 @@ _NORM = lambda c: f"CASE WHEN {_VKEY.format(c=c, g=1)} <> '' THEN {_VKEY.format(
 def version_delta(spark: SparkSession, sf: str) -> DataFrame:
     """Laws whose key differs from the one of the delivery before the last; new laws are no change."""
     s = table(spark, sf, "law_snapshots").select("law_id", "batch_date", norm_version_key(F.col("version_key")).alias("key"), "fetched_at")
-    last = s.agg(F.max("batch_date").alias("last"))
-    before = s.join(F.broadcast(last), s.batch_date < last.last).agg(F.max("batch_date").alias("before"))  # one row each
-    old = s.join(F.broadcast(before), s.batch_date == before.before).where("key IS NOT NULL").groupBy("law_id").agg(F.max_by("key", "fetched_at").alias("old_key"))
+    days = sorted(r[0] for r in s.select("batch_date").where("batch_date IS NOT NULL").distinct().collect())  # one row per delivery
+    before = days[-2] if len(days) > 1 else None
+    old = s.where((F.col("batch_date") == F.lit(before)) & F.col("key").isNotNull()).groupBy("law_id").agg(F.max_by("key", "fetched_at").alias("old_key"))
     new = table(spark, sf, "laws").select("law_id", norm_version_key(F.col("version_key")).alias("new_key"))
     return old.join(new, "law_id").where("old_key <> new_key").select("law_id", "old_key", "new_key")
 
@@ -387,9 +387,9 @@ def freshness_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(f"SELECT (SELECT count(*) FROM {_ORD}) AS ordinances_n, (SELECT count(*) FROM laws) AS laws_n, (SELECT count(*) FROM findings) AS findings_n")
 def batch_meta(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    a, b, c = one(ordinances(spark, sf), "ordinances_n"), one(table(spark, sf, "laws"), "laws_n"), one(table(spark, sf, "findings"), "findings_n")
-    return a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k)) for k, df in (("ordinances_n", ordinances(spark, sf)), ("laws_n", table(spark, sf, "laws")), ("findings_n", table(spark, sf, "findings")))]
+    counts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return counts.agg(*[F.sum(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ("ordinances_n", "laws_n", "findings_n")])
 
 
 _BATCH = "(SELECT max(batch_date) FROM law_snapshots)"
