@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lexmill.functions.plain_sql import jamo, run_sql
-from lexmill.session import write_shared
+from lexmill.session import spread, write_shared
 
 MAX_EDITS = 4  # of the built-in levenshtein; an exchange of neighbours takes two
 MAX_SLIPS = 2
@@ -13,7 +13,7 @@ MAX_SLIPS = 2
 
 def _only_in(a: str, b: str) -> str:
     """Characters of ``a`` that ``b`` has fewer of, as an array (one for each missing copy's kind)."""
-    count = lambda s: f"size(filter(split({s}, ''), y -> y = x))"
+    count = lambda s: f"(length({s}) - length(replace({s}, x, '')))"
     return f"flatten(transform(array_distinct(split({a}, '')), x -> array_repeat(x, greatest(0, {count(a)} - {count(b)}))))"
 
 
@@ -56,14 +56,15 @@ def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame |
     # from the left end and at most edits - seg from the right end of the reading.
     probes = run_sql(
         spark,
-        f"""SELECT DISTINCT reading, len, seg,
+        f"""SELECT reading, len, seg,
                    substr(reading, at, CASE WHEN seg < {edits} THEN len DIV {n} ELSE len - seg * (len DIV {n}) END) AS part
-            FROM (SELECT reading, len, seg, seg * (len DIV {n}) + 1 + shift AS at FROM (SELECT DISTINCT reading FROM {{r}})
-                  LATERAL VIEW explode(sequence(greatest({n}, length(reading) - {edits}), greatest({n}, length(reading) + {edits}))) l AS len
-                  LATERAL VIEW explode(sequence(0, {edits})) s AS seg
-                  LATERAL VIEW explode(filter(sequence(-{edits}, {edits}), d -> abs(d) <= seg AND abs(d - (length(reading) - len)) <= {edits} - seg)) d AS shift)
+            FROM (SELECT reading, len, seg, seg * (len DIV {n}) + 1 + shift AS at
+                  FROM (SELECT reading, len, seg, greatest(-seg, length(reading) - len - {edits} + seg) AS lo, least(seg, length(reading) - len + {edits} - seg) AS hi FROM {{r}}
+                        LATERAL VIEW explode(sequence(greatest({n}, length(reading) - {edits}), greatest({n}, length(reading) + {edits}))) l AS len
+                        LATERAL VIEW explode(sequence(0, {edits})) s AS seg)
+                  LATERAL VIEW explode(CASE WHEN lo <= hi THEN sequence(lo, hi) END) d AS shift)
             WHERE at >= 1 AND at <= length(reading)""",
-        r=open_,
+        r=spread(open_.select("reading").distinct(), "reading"),
     )
     near = run_sql(
         spark,
@@ -76,15 +77,19 @@ def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame |
     near = write_shared(near, "near")
     letters = run_sql(
         spark,
-        f"""SELECT *, {_only_in("reading", "text")} AS added, {_only_in("text", "reading")} AS missing FROM {{n}}""",
-        n=near,
+        f"""SELECT *, {_only_in("reading", "text")} AS added, {_only_in("text", "reading")} AS missing, levenshtein({jamo("reading")}, {jamo("text")}) AS changed FROM {{n}}
+            WHERE size(array_except(split(reading, ''), split(text, ''))) <= {slips} AND size(array_except(split(text, ''), split(reading, ''))) <= {slips}""",
+        n=spread(near, "reading"),
     )
-    alike = f"levenshtein({jamo('c')}, {jamo('d')}) <= 1"
+    # Written, because a filter on what follows would be pushed down and compute all this once per mention.
+    letters = write_shared(letters, "letters")
+    parts = ("DIV 588", "% 588 DIV 28", "% 28")  # of a syllable: first consonant, vowel, last consonant
+    alike = "ascii(c) BETWEEN 44032 AND 55203 AND ascii(d) BETWEEN 44032 AND 55203 AND " + " + ".join(f"int((ascii(c) - 44032) {p} = (ascii(d) - 44032) {p})" for p in parts) + " >= 2"
     judged = run_sql(
         spark,
         f"""SELECT *, size(filter(added, c -> exists(missing, d -> {alike}))) AS swapped,
                    size(filter(missing, c -> exists(added, d -> {alike}))) AS swapped_back,
-                   forall(added, c -> instr(text, c) > 0) AS doubled, levenshtein({jamo("reading")}, {jamo("text")}) AS changed,
+                   forall(added, c -> instr(text, c) > 0) AS doubled,
                    greatest(size(added), size(missing)) AS most, least(size(added), size(missing)) AS least_, size(added) + size(missing) AS all_
             FROM {{l}}""",
         l=letters,
@@ -105,6 +110,7 @@ def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame |
         c=counted,
     )
     cases = run_sql(spark, "SELECT o.value, k.entry_id, k.slips, k.changed FROM {o} o JOIN {k} k ON o.reading = k.reading", o=open_, k=meant)
+    cases = write_shared(cases, "cases")
     if places is not None:
         # Any way to read a value that begins with another place speaks against the entry. Parts meet by
         # equality: the first two characters with the heads, what follows with the tails.

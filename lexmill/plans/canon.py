@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.plain_sql import composed, literal, plain_name, run_sql
 from lexmill.operators.canon_map import closest_entries
-from lexmill.session import write_shared
+from lexmill.session import spread, write_shared
 from lexmill.sources.tables import table
 
 # Remarks around a name that do not change what is meant, and signs that never do.
@@ -63,7 +63,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = table(spark, sf_dir, src).select(F.lit(src).alias("src"), F.col(rec_id).cast("string").alias("rec_id"), F.col(name).alias("value")).where(F.col(name).isNotNull())
         rows = part if rows is None else rows.unionByName(part)
     rows = run_sql(spark, "SELECT r.* FROM {r} r LEFT ANTI JOIN {g} g ON r.value = g.official_name", r=rows, g=register)
-    names = rows.select("value").distinct()
+    # Written, because the optimizer would drop this distinct for the one over the readings above it.
+    names = spread(write_shared(rows.select("value").distinct(), "names"))
     meant = write_shared(closest_entries(write_shared(_readings(names), "readings"), write_shared(_entries(register), "entries"), write_shared(_places(register), "places")), "meant")
     assigned = run_sql(spark, "SELECT r.src, r.rec_id, m.entry_id AS reg_id FROM {r} r JOIN {m} m ON r.value = m.value", r=rows, m=meant)
     unmatched = run_sql(spark, "SELECT r.src, r.rec_id, 0 AS reg_id FROM {r} r LEFT ANTI JOIN {m} m ON r.value = m.value", r=rows, m=meant)
