@@ -288,12 +288,13 @@ def normalize_text(df: DataFrame, text: str, keep: list[str], out: str = "plain"
     """
     fields = [df.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` string, `{flag}` boolean"
-    rows_at_once = 4096
+    bytes_at_once = 4_000_000  # of text; bounds the arrays held at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, rows_at_once):
-                part = b.slice(s, rows_at_once)
+            step = max(1, b.num_rows * bytes_at_once // max(b.column(b.num_columns - 1).nbytes, bytes_at_once))
+            for s in range(0, b.num_rows, step):
+                part = b.slice(s, step)
                 plain, found = normalize_batch(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], plain.cast(pa.string()), pa.array(found)], [*keep, out, flag])
 

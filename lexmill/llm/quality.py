@@ -39,6 +39,7 @@ BARS = "|│┃║"
 DRAWN = (0x2500, 0x2580)
 INSIDE = "·-./,:()「」『』%~&@_+'’" + '"'  # signs that stand inside a word in sound text
 
+LETTERS = 600_000  # taken at once, which bounds the arrays held
 LONG = 300  # words or lines from which on a text need not bring new ones
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -396,7 +397,7 @@ def document_statistics(documents: DataFrame, words: DataFrame, doc_id: str = "d
     schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, " + ", ".join(f"{k} double" for k in STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in gathered(batches):
+        for ids, texts in gathered(batches, LETTERS):
             x = statistics(texts, common)
             yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(x[:, i]) for i in range(x.shape[1])]], ["doc_id", *STATISTICS])
 
@@ -432,7 +433,7 @@ def document_forms(documents: DataFrame, labels: DataFrame, words: DataFrame) ->
     common = _common(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in gathered(batches):
+        for ids, texts in gathered(batches, LETTERS):
             x = statistics(texts, common)
             p = model.probabilities(x)
             best = p.argmax(axis=1)
