@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import basis_days, day_of, let, narrow_unit, without_blanks
+from lexmill.functions.text import basis_days, day_of, eight_digits, let, narrow_unit, without_blanks
+from lexmill.operators.articles import comparison_changed
 
 
 def _verdict(severity: str, change: str = "") -> Column:
@@ -56,3 +57,10 @@ def diff_clause(now: Column, then: Column, moved: Column, own_day: Column, hang:
 
     unit = lambda text: narrow_unit(text, hang, ho, mok)
     return let(basis_days(now, own_day), lambda d: let(unit(now), lambda a: let(unit(then), lambda b: judged(d, a, b))))
+
+
+def judge_rule(old: Column, new: Column, pair_day: Column, own_day: Column, otherwise: Column) -> Column:
+    """Judge a clause of an administrative rule: changed by a comparison newer than the ordinance, else as ``otherwise`` says."""
+    later = F.length(eight_digits(pair_day)) == 8
+    later = later & (eight_digits(own_day) != "") & (eight_digits(pair_day) > eight_digits(own_day))
+    return F.when(later & comparison_changed(old, new), _verdict("review")).otherwise(otherwise)
