@@ -33,3 +33,15 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n in driver.queries() if n not in getattr(driver.llm, "QUERIES", {})])
+def test_empty_tables(spark, name, tmp_path_factory):
+    import pyarrow.parquet as pq
+
+    folder = tmp_path_factory.getbasetemp() / "empty"
+    if not folder.exists():
+        folder.mkdir()
+        for f in os.listdir(SF):
+            pq.write_table(pq.read_table(f"{SF}/{f}").slice(0, 0), folder / f)
+    assert driver.queries()[name](spark, str(folder)).count() == (name in ("overview_totals", "report_summary", "batch_meta"))

@@ -21,7 +21,7 @@ def test_scalars(spark):
     assert [say(lambda x: X.particle(x, "이", "가"), v) for v in ("제3호", "가목", "x", "")] == ["가", "이", "가", "가"]
     assert [say(X.article_code, v) for v in ("003000", "001502", "000000", "12", "0015ab", None)] == ["제30조", "제15조의2", "", "", "", ""]
     assert say(X.normalize_text, "가나・　") == "가나· "
-    assert [say(lambda x: X.cited_kind(x, ("군포시",)), v) for v in ("주차장법 시행규칙", "군포시 조례", "x 규칙", "군포시 지침", "군포시 x", "법령", "", None)] == ["법령", "자치법규", "자치법규", "법령", "자치법규", "기타", "기타", "기타"]
+    assert [say(lambda x: X.cited_kind(x, ("가온시",)), v) for v in ("주차장법 시행규칙", "가온시 조례", "x 규칙", "가온시 지침", "가온시 x", "법령", "", None)] == ["법령", "자치법규", "자치법규", "법령", "자치법규", "기타", "기타", "기타"]
     assert say(X.amend_days, "<개정 2020.1.2, 2019. 12. 31> <신설 2020.1.2> <삭제 2021.1.1>") == ["20191231", "20200102"]
     assert say(X.amend_days, None) == []
     assert tuple(say(lambda x: X.basis_days(x, F.lit("20200101")), "<개정 2019.1.1> <개정 2021.1.1>")) == ("20190101", "20210101", True)
