@@ -46,3 +46,12 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Rows over as many tasks as shuffles have, also where few bytes make much work and would be coalesced."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
