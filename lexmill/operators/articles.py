@@ -165,19 +165,24 @@ def comparison_changed(old: Column, new: Column) -> Column:
     return F.when(new.isNull(), False).otherwise(plain(old) != plain(new))
 
 
+def came_from(articles: DataFrame) -> DataFrame:
+    """(law_id, label, moved_to, enforce_date): the first article that says it moved from a label."""
+    came = articles.where("moved_from != ''").groupBy("law_id", F.col("moved_from").alias("label")).agg(F.min(F.struct("pos", F.col("label").alias("to"), "enforce_date")).alias("m"))
+    return came.select("law_id", "label", F.col("m.to").alias("moved_to"), F.col("m.enforce_date").alias("enforce_date"))
+
+
 def moved_to(cited: DataFrame, articles: DataFrame) -> DataFrame:
     """For cited (law_id, label) without such an article: the first article that says it moved from there."""
     missing = cited.join(articles.select("law_id", "label"), ["law_id", "label"], "left_anti")
-    came = articles.where("moved_from != ''").groupBy("law_id", F.col("moved_from").alias("label")).agg(F.min(F.struct("pos", F.col("label").alias("to"), "enforce_date")).alias("m"))
-    return missing.join(came, ["law_id", "label"], "left").select("law_id", "label", F.col("m.to").alias("moved_to"), F.col("m.enforce_date").alias("enforce_date"))
+    return missing.join(came_from(articles), ["law_id", "label"], "left").select("law_id", "label", "moved_to", "enforce_date")
 
 
-def renumbered(missing: DataFrame, articles: DataFrame) -> DataFrame:
-    """(law_id, label, content) rows matched to the first current article of the same text, blanks aside. Met by hash, then text."""
+def renumbered(missing: DataFrame, articles: DataFrame, by: tuple[str, ...] = ("law_id", "label")) -> DataFrame:
+    """(*by, content) rows, law_id among ``by``, matched to the first current article of the same text, blanks aside. Met by hash, then text."""
     plain = F.regexp_replace("content", r"(?U)\s+", "")
     keyed = lambda df: df.withColumn("plain", plain).withColumn("digest", F.xxhash64("plain"))
     now = keyed(articles).select("law_id", "digest", F.col("plain").alias("text"), "pos", F.col("label").alias("to"))
     m = keyed(missing).join(now, ["law_id", "digest"]).where("plain = text")
-    return m.groupBy("law_id", "label").agg(F.min(F.struct("pos", "to")).alias("m")).select("law_id", "label", F.col("m.to").alias("moved_to"))
+    return m.groupBy(*by).agg(F.min(F.struct("pos", "to")).alias("m")).select(*by, F.col("m.to").alias("moved_to"))
 
 

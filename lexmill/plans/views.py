@@ -83,11 +83,11 @@ def dept_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- name resolution
-def name_index(spark: SparkSession, sf: str) -> DataFrame:
-    """(name_key, law_id): citations before findings before laws, the smallest place within a source."""
+def name_index(spark: SparkSession, sf: str, rules: bool = False) -> DataFrame:
+    """(name_key, law_id) of laws, or of administrative rules: citations before findings before laws, the smallest place within a source."""
     parts = []
     for prio, (src, name, place) in enumerate((("citations", "law_name", "id"), ("findings", "law_name", "id"), ("laws", "name", "law_id"))):
-        t = table(spark, sf, src).where(F.col(name).isNotNull() & (F.col("law_id") != "") & ~F.startswith("law_id", F.lit("ADM:")))
+        t = table(spark, sf, src).where(F.col(name).isNotNull() & (F.col("law_id") != "") & (F.startswith("law_id", F.lit("ADM:")) == F.lit(rules)))
         parts.append(t.select(X.name_key(F.col(name)).alias("name_key"), "law_id", F.lit(prio).alias("prio"), F.lpad(F.col(place).cast("string"), 20, "0").alias("place")))
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return every.groupBy("name_key").agg(F.min(F.struct("prio", "place", "law_id")).alias("m")).select("name_key", "m.law_id", "m.prio")
