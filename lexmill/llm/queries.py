@@ -12,9 +12,10 @@ from lexmill.llm.quality import document_forms, document_statistics
 from lexmill.sources.tables import table
 
 
-def _normalized(spark: SparkSession, sf_dir: str, name: str, rec_id: str, text: str) -> DataFrame:
-    rows = table(spark, sf_dir, name).where(F.col(text).isNotNull()).select(F.col(rec_id).cast("string").alias("rec_id"), F.col(text).alias("text"))
-    return normalize_text(rows, "text", ["rec_id"]).select(F.lit(name).alias("src"), "rec_id", "plain", "altered")
+def _normalized(spark: SparkSession, sf_dir: str, name: str, rec_id: str, text: str, *more: str) -> DataFrame:
+    """Plain forms; text_key keeps the rows of one rec_id apart (by their text and ``more``)."""
+    rows = table(spark, sf_dir, name).where(F.col(text).isNotNull()).select(F.col(rec_id).cast("string").alias("rec_id"), F.xxhash64(text, *more).alias("text_key"), F.col(text).alias("text"))
+    return normalize_text(rows, "text", ["rec_id", "text_key"]).select(F.lit(name).alias("src"), "rec_id", "text_key", "plain", "altered")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +26,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every law name of citations and findings in its consistent form."""
-    return _normalized(spark, sf_dir, "citations", "id", "law_name").unionByName(_normalized(spark, sf_dir, "findings", "id", "law_name")).select("src", "rec_id", "plain")
+    """Every body of ordinances and law name of citations and findings in its consistent form."""
+    parts = [_normalized(spark, sf_dir, *x) for x in (("ordinances", "mst", "body_xml", "fetched_at"), ("citations", "id", "law_name"), ("findings", "id", "law_name"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("src", "rec_id", "text_key", "plain")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
