@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.dates import norm_date
-from lexmill.functions.text import is_local_rule, label_numbers, loose_name_key, name_key
+from lexmill.functions.text import is_local_rule, label_numbers, loose_name_key, name_key, unit_label
 from lexmill.operators import articles as A
 from lexmill.operators import citations as C
 from lexmill.operators import diff as D
@@ -250,8 +250,16 @@ def token_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query()
 def trace_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored findings beside the replayed judgement of the same clause, and whether they agree."""
-    replayed = findings_end_to_end(spark, sf).groupBy("mst", "law_id", F.col("article_no").alias("ord_clause"), F.col("label").alias("clause_label")).agg(F.min(F.struct("ord_seq", "severity", "change_type")).alias("r"))
-    stored = table(spark, sf, "findings").select("id", "mst", "law_id", "ord_clause", "clause_label", F.col("severity").alias("stored"))
-    both = stored.join(replayed, ["mst", "law_id", "ord_clause", "clause_label"])
-    return both.select("id", "stored", F.col("r.severity").alias("replayed"), (F.col("stored") == F.col("r.severity")).alias("match"))
+    """Every stored finding beside the replayed judgement of the same clause and unit, and whether they agree.
+
+    A law is met by its id, without one by its name. What was not replayed does not agree.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    law = F.when(F.col("law_id") != "", F.col("law_id")).otherwise(F.concat(F.lit("?"), name_key(F.coalesce("law_name", F.lit(""))))).alias("law")
+    keys = ["mst", "law", "ord_clause", "clause_label", "clause_detail"]
+    found = findings_end_to_end(spark, sf).select("mst", law, F.col("article_no").alias("ord_clause"), F.col("label").alias("clause_label"), unit_label(F.col("hang"), F.col("ho"), F.col("mok")).alias("clause_detail"), "ord_seq", "severity", "change_type")
+    replayed = found.groupBy(*keys).agg(F.min(F.struct("ord_seq", "severity", "change_type")).alias("r"))
+    stored = table(spark, sf, "findings").select("id", blank("mst"), law, *map(blank, keys[2:]), F.col("severity").alias("stored"), blank("change_type").alias("stored_change"))
+    same = F.col("stored").eqNullSafe(F.col("r.severity")) & (F.col("stored_change") == F.col("r.change_type"))
+    match = F.when(F.col("r").isNull(), False).otherwise(same)
+    return stored.join(replayed, keys, "left").select("id", "stored", "stored_change", F.col("r.severity").alias("replayed"), F.col("r.change_type").alias("replayed_change"), match.alias("match"))

@@ -48,3 +48,7 @@ def test_every_cited_law_is_judged(spark, folder, got):
         ("02", "다라법", "제1조", "제5조", "mechanical", ""), ("ADM:9", "마바 규정", "제1조", "제1조", "current", ""),
         ("03", "옛이름법", "제1조", "", "review", "제명변경"), ("", "없는법", "제1조", "", "check", "법령미해결"),
     ], key=repr)
+
+
+def test_findings_not_replayed_do_not_match(spark, folder, got):
+    assert got(P.trace_match(spark, folder).select("id", "match")) == [(1, True), (2, True), (3, False), (4, True), (5, True), (6, False)]
