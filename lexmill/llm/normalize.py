@@ -117,8 +117,8 @@ def _shifted(offsets: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(keep)))[offsets]
 
 
-def _inside(points: np.ndarray, opening: str, closing: str) -> np.ndarray:
-    """Whether each position lies after an opening string and before the next closing one."""
+def _inside(points: np.ndarray, offsets: np.ndarray, opening: str, closing: str) -> np.ndarray:
+    """Whether each position lies after an opening string and before the next closing one or the end of its row."""
     def at(s: str) -> np.ndarray:
         n = len(points) - len(s) + 1
         if n <= 0:
@@ -130,12 +130,14 @@ def _inside(points: np.ndarray, opening: str, closing: str) -> np.ndarray:
 
     depth = np.zeros(len(points) + 1, np.int64)
     opened, closed = at(opening), at(closing)
+    row_end = offsets[np.searchsorted(offsets, opened, "right")]
+    opened, row_end = opened[opened + len(opening) <= row_end], row_end[opened + len(opening) <= row_end]
     if not len(opened):
         return depth[:-1].astype(bool)
     following = np.searchsorted(closed, opened)
     ends = np.where(following < len(closed), closed[np.minimum(following, len(closed) - 1)] if len(closed) else len(points), len(points))
     np.add.at(depth, opened, 1)
-    np.add.at(depth, ends, -1)
+    np.add.at(depth, np.minimum(ends, row_end), -1)
     return np.cumsum(depth[:-1]) > 0
 
 
@@ -149,7 +151,7 @@ def resolve_references(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     if not len(at):
         return points, offsets
     padded = np.concatenate((points, np.zeros(12, np.uint32)))
-    at = at[~_inside(points, "<![CDATA[", "]]>")[at]]
+    at = at[~_inside(points, offsets, "<![CDATA[", "]]>")[at]]
     is_hex = (padded[at + 2] | 32) == 120
     value, end, done = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
     pos, good = at + 2 + is_hex, np.ones(len(at), bool)

@@ -68,3 +68,9 @@ def test_frame(spark, got):
     out = got(normalize_text(df, "text", ["id"]))
     assert [(i, t if t is None or len(t) < 9 else t[-1], f) for i, t, f in out] == [("1", "제1조", True), ("2", None, False), ("3", "", False), ("4", " ", True)]
     assert got(normalize_text(df.limit(0), "text", ["id"])) == []
+
+
+def test_open_cdata_ends_with_its_row():
+    plain, found = normalize_batch(pa.array(["<![CDATA[&#x3000;", "a&#x3000;b", None, "x<![CDATA[y", "&#x3000;", "<![CDA", "TA[&#x3000;"]))
+    assert plain.to_pylist() == ["<![CDATA[&#x3000;", "a b", None, "x<![CDATA[y", " ", "<![CDA", "TA[ "]
+    assert found.tolist() == [False, True, False, False, True, False, True]
