@@ -295,6 +295,12 @@ def list_sorted_by_date(spark: SparkSession, sf: str) -> DataFrame:
     return scan(spark, sf).select("mst", F.nullif(F.trim("enforce_date"), F.lit("")).alias("day")).orderBy(F.asc_nulls_last("day"), "mst").limit(100)
 
 
+@R.query(f"SELECT mst, nullif(trim(enforce_date), '') AS day FROM {_SCAN} ORDER BY day NULLS LAST, mst")
+def list_all_by_date(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole list, of which list_sorted_by_date is the first hundred."""
+    return scan(spark, sf).select("mst", F.nullif(F.trim("enforce_date"), F.lit("")).alias("day")).orderBy(F.asc_nulls_last("day"), "mst")
+
+
 _RANK = "CASE severity WHEN 'mechanical' THEN 0 WHEN 'review' THEN 1 WHEN 'check' THEN 2 WHEN 'current' THEN 3 ELSE 4 END"
 
 
