@@ -15,7 +15,7 @@ from lexmill.operators.judge import check_clause, diff_clause, judge_rule
 from lexmill.plans.registry import Registry
 from lexmill.plans.scalars import PREFIXES
 from lexmill.plans.views import name_index, rule_index
-from lexmill.session import write_shared
+from lexmill.session import spread, write_shared
 from lexmill.sources.tables import latest, table
 
 R = Registry()
@@ -242,6 +242,14 @@ def highlight_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query()
 def token_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of cited articles then and now as one marked flow, each pair of texts once."""
+    j = _compared(spark, sf, _units(spark, sf), write_shared(law_articles(spark, sf), "articles")).where("then IS NOT NULL AND now IS NOT NULL")
+    pairs = j.groupBy("law_id", "version_mst", "label").agg(F.first("then").alias("then"), F.first("now").alias("now"))
+    return spread(pairs, "law_id", "version_mst", "label").select("law_id", "version_mst", "label", D.unified_html(D.token_diff("then", "now")).alias("html"))
+
+
+@R.query()
+def token_diff_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names of laws then and now as one marked flow."""
     s = table(spark, sf, "law_snapshots").where("name IS NOT NULL").groupBy("law_id").agg(F.min_by("name", F.struct("fetched_at", "name")).alias("then"))
     now = table(spark, sf, "laws").where("name IS NOT NULL").select("law_id", F.col("name").alias("now"))

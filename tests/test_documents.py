@@ -52,3 +52,8 @@ def test_every_cited_law_is_judged(spark, folder, got):
 
 def test_findings_not_replayed_do_not_match(spark, folder, got):
     assert got(P.trace_match(spark, folder).select("id", "match")) == [(1, True), (2, True), (3, False), (4, True), (5, True), (6, False)]
+
+
+def test_cited_texts_are_diffed(spark, folder, got):
+    want = '<mark class="d">두울</mark><mark class="i">둘</mark>'
+    assert got(P.token_diff(spark, folder)) == [("01", "77", "제2조", want)]
