@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.dates import day_before
 
 
-def coalesce_runs(df: DataFrame, keys: list[str], slot: str, slots: int, carry: dict[str, Column] | None = None) -> DataFrame:
+def coalesce_runs(df: DataFrame, keys: list[str], slot: str, slots: int, carry: dict[str, Column] | None = None, bridge: bool = False) -> DataFrame:
     """Merge neighbouring unit intervals of equal ``keys`` over logarithmic rounds.
 
     A row says that the payload (part of ``keys``, beside the entity) was observed in
@@ -19,6 +19,10 @@ def coalesce_runs(df: DataFrame, keys: list[str], slot: str, slots: int, carry:
     passes on in a group of its own. All rounds keep the partitioning of the first
     exchange.
 
+    With ``bridge`` a snapshot in which the payload was not seen does not part two runs:
+    the run of one half of a block and that of the other become one whatever lies
+    between, so that one run per key is left, which says when it was first and last seen.
+
     Result: ``keys``, first_slot, last_slot and the carried columns (an expression each,
     aggregated by max; a null never wins). Rows with a null slot are dropped, repeated
     rows count once, null keys form a key of their own, an empty table gives no rows.
@@ -31,7 +35,7 @@ def coalesce_runs(df: DataFrame, keys: list[str], slot: str, slots: int, carry:
     while size < slots:
         size *= 2
         half = size // 2
-        middle = (
+        middle = F.floor(F.col("first_slot") / size) if bridge else (
             F.when((F.col("last_slot") + 1) % size == half, F.col("last_slot") + 1)
             .when(F.col("first_slot") % size == half, F.col("first_slot"))
             .otherwise(-1 - F.col("first_slot"))

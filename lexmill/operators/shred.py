@@ -14,9 +14,11 @@ columns would lose the order between them.
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from xml.parsers import expat
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,67 @@ def parse_record(xml: str | None) -> ET.Element | None:
         return None
 
 
+def head_leaves(xml: str | None, tags: tuple[str, ...], skip: str = "조문", piece: int = 2048) -> list[str]:
+    """The first non-blank text of each leaf outside the elements ``skip``, '' if there is none.
+
+    The text is parsed as a stream that ends when all leaves are found, or where the text is
+    damaged; what was read until then counts, since it is sound.
+    """
+    found = dict.fromkeys(tags, "")
+    open_: list[str] = []
+    held: list[str] = []
+    missing = set(tags)
+    inside = 0
+
+    def start(tag: str, _) -> None:
+        nonlocal inside
+        inside += tag == skip
+        open_.append(tag)
+        held.clear()
+
+    def end(tag: str) -> None:
+        nonlocal inside
+        inside -= tag == skip
+        open_.pop()
+        if not inside and tag in missing and (text := "".join(held).strip()):
+            found[tag] = text
+            missing.discard(tag)
+        held.clear()
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, held.append
+    text = re.sub(r"^\s*<\?xml[^>]*\?>", "", xml or "")
+    try:
+        for at in range(0, len(text), piece):
+            parser.Parse(text[at : at + piece], at + piece >= len(text))
+            if not missing:
+                break
+    except expat.ExpatError:
+        pass
+    return [found[t] for t in tags]
+
+
+def with_heads(df: DataFrame, xml: str, leaves: dict[str, str], keep: list[str]) -> DataFrame:
+    """``keep`` columns and one text column per head leaf (name: tag), '' where absent. Narrow; a text repeated in a batch is parsed once."""
+    names, tags = list(leaves), tuple(leaves.values())
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` string" for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known: dict[str | None, list[str]] = {}
+            rows = []
+            for x in b.column(b.num_columns - 1):
+                text = x.as_py()
+                if text not in known:
+                    known[text] = head_leaves(text, tags)
+                rows.append(known[text])
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.string()) for c in columns]], [*keep, *names])
+
+    return df.select(*keep, df[xml].alias("__xml")).mapInArrow(run, schema)
+
+
 def record_units(root: ET.Element, spec: RecordSpec) -> list[ET.Element]:
     units = set(spec.units)
     return [u for c in root.iter(spec.container) for u in c if u.tag in units]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.dates import norm_date, norm_version_key
 from lexmill.operators.article_diff import article_changes
 from lexmill.operators.asof import asof_join
 from lexmill.operators.history import close_intervals, coalesce_runs
-from lexmill.operators.shred import shred_units
+from lexmill.operators.shred import shred_units, with_heads
+from lexmill.session import write_shared
 from lexmill.sources.tables import latest, table
 
 
@@ -21,49 +22,62 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laws.unionByName(ordinances).select("src", "rec_id", "path", "level", "label")
 
 
+# The leaves of a body's head that name its version.
+HEAD = {"promulgated": "공포일자", "number": "공포번호", "in_force": "시행일자"}
 
-def _head(tag: str):
-    """A leaf of the record's head, which precedes the articles; '' if absent. Stays in the JVM."""
-    return F.regexp_extract(F.substring_index("body_xml", "<조문>", 1), r"<%s(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?\s*([^<\]]*?)\s*(?:\]\]>)?\s*</%s>" % (tag, tag), 1)
 
+def _observed(df: DataFrame, slot: Column) -> DataFrame:
+    """(law_id, version_key, slot, stated) of delivered rows: a missing key is read from the body, stated is the day in force it names."""
+    rows = with_heads(df.withColumn("slot", slot).where("law_id IS NOT NULL AND slot IS NOT NULL"), "body_xml", HEAD, ["law_id", "version_key", "slot", "fetched_at"])
+    key = F.coalesce(norm_version_key(F.col("version_key")), norm_version_key(F.concat_ws("|", "promulgated", "number")))
+    day = norm_date(F.col("in_force"))
+    return rows.select("law_id", key.alias("version_key"), "slot", F.when(day.isNotNull(), _stated(2, F.col("fetched_at"), day)).alias("stated")).where("version_key IS NOT NULL")
 
-def _observed(df: DataFrame, slot) -> DataFrame:
-    """(law_id, version_key, slot, in_force) of delivered rows; a missing key is read from the body."""
-    stated = norm_version_key(F.col("version_key"))
-    in_body = norm_version_key(F.concat_ws("|", _head("공포일자"), _head("공포번호")))
-    in_force = norm_date(_head("시행일자"))
-    return df.select("law_id", F.coalesce(stated, in_body).alias("version_key"), slot.alias("slot"), F.when(in_force.isNotNull(), F.struct("fetched_at", in_force.alias("day"))).alias("in_force")).where(
-        "law_id IS NOT NULL AND version_key IS NOT NULL"
-    )
+
+def _stated(rank: int, at: Column, day: Column) -> Column:
+    """A day in force and who says so: bodies (2) before changes (1), later before earlier."""
+    return F.struct(F.lit(rank).alias("rank"), at.cast("timestamp_ntz").alias("at"), day.alias("day"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In which consecutive deliveries each version was seen; the table laws is the last."""
+def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame]:
+    """The days of delivery and all delivered rows by number of their delivery; the table laws is the last."""
     snapshots, laws = table(spark, sf_dir, "law_snapshots"), table(spark, sf_dir, "laws")
     days = [r[0] for r in snapshots.select("batch_date").where("batch_date IS NOT NULL").distinct().orderBy("batch_date").collect()]  # one row per delivery
-    number = F.array_position(F.array(*[F.lit(d) for d in days]), F.col("batch_date")) - 1 if days else F.lit(None).cast("long")
-    seen = _observed(snapshots.where("batch_date IS NOT NULL"), number).unionByName(_observed(laws, F.lit(len(days)).cast("long")))
-    return coalesce_runs(seen, ["law_id", "version_key"], "slot", len(days) + 1, {"in_force": F.col("in_force")})
+    number = F.nullif(F.array_position(F.array(*[F.lit(d) for d in days]), F.col("batch_date")), F.lit(0)) - 1 if days else F.lit(None).cast("long")
+    return days, _observed(snapshots, number).unionByName(_observed(laws, F.lit(len(days)).cast("long")))
 
 
 def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of consecutive deliveries (numbered from 0; laws is one more) in which a version was seen."""
-    return _runs(spark, sf_dir).select("law_id", "version_key", F.col("first_slot").cast("bigint").alias("first_slot"), F.col("last_slot").cast("bigint").alias("last_slot"))
+    days, seen = _deliveries(spark, sf_dir)
+    return coalesce_runs(seen, ["law_id", "version_key"], "slot", len(days) + 1)
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One history per law: its versions with the period each was in force."""
-    delivered = _runs(spark, sf_dir).select("law_id", "version_key", "in_force", F.lit(None).cast("struct<at:timestamp_ntz,day:string>").alias("reported"))
-    changes = table(spark, sf_dir, "law_changes")
+def _noted(changes: DataFrame, days: list[str]) -> DataFrame:
+    """Versions that changes name, as seen at the delivery the change was detected in (the old one at the delivery before)."""
+    at = F.date_format("detected_at", "yyyyMMdd")
+    place = F.greatest(F.size(F.filter(F.array(*[F.lit(d) for d in days]).cast("array<string>"), lambda d: F.regexp_replace(d, r"\D", "") <= at)) - 1, F.lit(0)).cast("long")
+    slot = F.coalesce(F.when(F.col("detected_at").isNotNull(), place), F.lit(0).cast("long"))
     day = norm_date(F.col("new_enforce"))
-    reported = F.when(day.isNotNull(), F.struct(F.col("detected_at").cast("timestamp_ntz").alias("at"), day.alias("day")))
-    none = F.lit(None).cast(dict(delivered.dtypes)["in_force"])
-    noted = changes.select("law_id", F.inline(F.array(
-        F.struct(norm_version_key(F.col("old_key")).alias("version_key"), F.lit(None).cast("struct<at:timestamp_ntz,day:string>").alias("reported")),
-        F.struct(norm_version_key(F.col("new_key")).alias("version_key"), reported.alias("reported")),
-    ))).where("law_id IS NOT NULL AND version_key IS NOT NULL").select("law_id", "version_key", none.alias("in_force"), "reported")
-    versions = delivered.unionByName(noted).groupBy("law_id", "version_key").agg(F.max("in_force").alias("in_force"), F.max("reported").alias("reported"))
-    versions = versions.select("law_id", "version_key", F.coalesce("in_force.day", "reported.day", F.lit("")).alias("valid_from"))
+    told = F.when(day.isNotNull(), _stated(1, F.col("detected_at"), day))
+    sides = F.array(
+        F.struct(norm_version_key(F.col("old_key")).alias("version_key"), F.greatest(slot - 1, F.lit(0).cast("long")).alias("slot"), F.when(F.lit(False), told).alias("stated")),
+        F.struct(norm_version_key(F.col("new_key")).alias("version_key"), slot.alias("slot"), told.alias("stated")),
+    )
+    return changes.where("law_id IS NOT NULL").select("law_id", F.inline(sides)).where("version_key IS NOT NULL")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One history per law: its versions with the period each was in force.
+
+    Deliveries and changes are unit intervals of a version; their reduction leaves one run
+    per version, since leaving the deliveries does not end it, with the day in force stated
+    best. The next day in force of the law closes the period.
+    """
+    days, seen = _deliveries(spark, sf_dir)
+    units = seen.unionByName(_noted(table(spark, sf_dir, "law_changes"), days))
+    runs = coalesce_runs(units, ["law_id", "version_key"], "slot", len(days) + 1, {"stated": F.col("stated")}, bridge=True)
+    versions = runs.select("law_id", "version_key", F.coalesce("stated.day", F.lit("")).alias("valid_from"))
     return close_intervals(versions, "law_id", "valid_from").select("law_id", "version_key", "valid_from", "valid_to")
 
 
@@ -81,7 +95,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     borrowed = findings.where("own_day IS NULL AND mst IS NOT NULL").join(days, "mst").select("id", "law_id", F.col("ord_day").alias("day"))
     versions = latest(table(spark, sf_dir, "law_versions").where("law_id IS NOT NULL AND version_mst IS NOT NULL"), ["law_id", "version_mst"], "fetched_at", ["enforce_date"])
     versions = versions.select("law_id", "version_mst", norm_date(F.col("enforce_date")).alias("start"))
-    return asof_join(stated.unionByName(borrowed), versions, "law_id", "day", "start", "version_mst").select("id", "version_mst")
+    events = write_shared(stated.unionByName(borrowed), "events")  # narrow; counted and then joined
+    return asof_join(events, versions, "law_id", "day", "start", "version_mst").select("id", "version_mst")
 
 
 _PARTED = r"^\s*(\d{4})\s*[.\-/년]\s*(\d{1,2})\s*[.\-/월]\s*(\d{1,2})\s*[.일]?\s*$"
