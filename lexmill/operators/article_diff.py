@@ -58,7 +58,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([b.column(0), b.column(1), pa.array(rows, kind)], names=["law_id", "body_hash", "articles"])
 
 
-def article_changes(snapshots: DataFrame, depth: int = 3) -> DataFrame:
+def article_changes(snapshots: DataFrame, depth: int | None = None) -> DataFrame:
     """(batch_date, law_id, label, change) between consecutive deliveries.
 
     Of several rows of a law in one delivery the last fetched counts. A missing key
@@ -73,8 +73,8 @@ def article_changes(snapshots: DataFrame, depth: int = 3) -> DataFrame:
     )
     # Narrow tables that several steps read are written once, which also keeps the plans small.
     current = write_shared(latest(rows, ["batch_date", "law_id"], "fetched_at", ["version_key", "body_hash"]), "current")
-    days = [r[0] for r in current.select("batch_date").distinct().orderBy("batch_date").collect()]  # one row per delivery
-    differing = write_shared(merkle_diff(current, "batch_date", "law_id", F.struct("version_key", "body_hash"), days, depth), "differing")
+    sizes = {r[0]: r[1] for r in current.groupBy("batch_date").count().collect()}  # one row per delivery
+    differing = write_shared(merkle_diff(current, "batch_date", "law_id", F.struct("version_key", "body_hash"), sorted(sizes), depth, max(sizes.values(), default=0)), "differing")
     side = lambda name, p: current.select(F.col("batch_date").alias(name), F.col("law_id").alias("key"), F.col("version_key").alias(f"{p}_key"), F.col("body_hash").alias(f"{p}_hash"))
     pairs = write_shared(
         differing.where("change = 'differs'")
@@ -83,7 +83,8 @@ def article_changes(snapshots: DataFrame, depth: int = 3) -> DataFrame:
         .select(F.col("new_snapshot").alias("batch_date"), F.col("key").alias("law_id"), "old_key", "new_key", "old_hash", "new_hash"),
         "pairs",
     )
-    wanted = pairs.where("old_hash != new_hash").select("law_id", F.explode(F.array("old_hash", "new_hash")).alias("body_hash")).distinct()
+    # Written, so that its size is known when bodies are read: held against them where they lie if small enough, else by a shuffle.
+    wanted = write_shared(pairs.where("old_hash != new_hash").select("law_id", F.explode(F.array("old_hash", "new_hash")).alias("body_hash")).distinct(), "wanted")
     bodies = snapshots.select("law_id", F.xxhash64("body_xml").alias("body_hash"), "body_xml").join(wanted, ["law_id", "body_hash"], "left_semi")
     bodies = bodies.groupBy("law_id", "body_hash").agg(F.first("body_xml").alias("body_xml"))
     parsed = write_shared(bodies.mapInArrow(_digest_batches, "law_id string, body_hash bigint, articles array<struct<label:string,digest:bigint>>").where("articles IS NOT NULL"), "articles")

@@ -1,81 +1,94 @@
 """What changed between full snapshots: Merkle trees over hash ranges of the keys.
 
-Every snapshot's rows go into hash ranges of their key. A range's digest is the pair
-(sum, xor) over its rows' 64-bit digests, so it is order-free and combines upwards by
-the same two aggregates. Neighbouring snapshots are compared from the root down; a
-node whose digests agree is never opened, and only rows in differing leaf ranges are
+Every snapshot's rows go into hash ranges of their key. A range's digest is the triple
+(count, sum, xor) over its rows' 64-bit digests, so it is order-free and combines upwards
+by the same aggregates. The tree of every snapshot is written as one narrow table by
+level. Neighbouring snapshots are compared from the root down: of each level only the
+children of nodes that differ are read on, and only rows in differing leaf ranges are
 compared one by one.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.session import write_shared
 
 FANOUT_BITS = 4
+LEAF_KEYS = 16  # keys a leaf holds on average
+
+
+def tree_depth(keys: int, leaf_keys: int = LEAF_KEYS) -> int:
+    """Levels below the root at which a leaf of a tree over so many keys holds about ``leaf_keys``; at most 12."""
+    return min(12, max(1, ceil(log(max(1, keys / leaf_keys), 2**FANOUT_BITS))))
+
+
+def _combined(*by) -> list[Column]:
+    return [F.sum("__n").alias("__n"), F.sum("__sum").alias("__sum"), F.bit_xor("__xor").alias("__xor")]
 
 
-def _digests(rows: DataFrame, level_bits: int, key_bits: int) -> DataFrame:
-    node = F.shiftright(F.col("__range"), key_bits - level_bits).alias("__node")
-    return rows.groupBy("__snap", node).agg(
-        F.count(F.lit(1)).alias("__n"), F.expr("sum(CAST(__digest AS DECIMAL(38,0)))").alias("__sum"), F.bit_xor("__digest").alias("__xor")
-    )
+def merkle_tree(base: DataFrame, depth: int) -> DataFrame:
+    """(__level, __snap, __node, __n, __sum, __xor) of all nodes; ``base`` has __snap, __range (of the leaves) and __digest."""
+    one = base.select("__snap", F.col("__range").alias("__node"), F.lit(1).cast("bigint").alias("__n"), F.col("__digest").cast("decimal(38,0)").alias("__sum"), F.col("__digest").alias("__xor"))
+    leaves = write_shared(one.groupBy("__snap", "__node").agg(*_combined()).withColumn("__sum", F.col("__sum").cast("decimal(38,0)")), "leaves")
+    up = F.explode(F.sequence(F.lit(1), F.lit(depth - 1))) if depth > 1 else F.explode(F.array().cast("array<int>"))
+    inner = leaves.withColumn("__level", up).withColumn("__node", F.expr(f"shiftright(__node, {FANOUT_BITS} * ({depth} - __level))"))
+    inner = inner.groupBy("__level", "__snap", "__node").agg(*_combined()).withColumn("__sum", F.col("__sum").cast("decimal(38,0)"))
+    return write_shared(inner.unionByName(leaves.withColumn("__level", F.lit(depth))), "tree", ["__level"])
 
 
-def _compared(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, node) whose digests differ, a node missing on one side included."""
-    old = nodes.join(F.broadcast(pairs), nodes["__snap"] == pairs["__old"]).select("__pair", "__node", F.lit(0).alias("__side"), "__n", "__sum", "__xor")
-    new = nodes.join(F.broadcast(pairs), nodes["__snap"] == pairs["__new"]).select("__pair", "__node", F.lit(1).alias("__side"), "__n", "__sum", "__xor")
-    both = old.unionByName(new).groupBy("__pair", "__node")
-    side = F.count(F.lit(1)) < 2
-    differ = [F.min(c) != F.max(c) for c in ("__n", "__sum", "__xor")]
-    return both.agg((side | differ[0] | differ[1] | differ[2]).alias("__differs")).where("__differs").select("__pair", "__node")
+def _sides(rows: DataFrame, last: int) -> DataFrame:
+    """Rows of snapshot number __snap as the new side (1) of the pair before it and the old side (0) of the pair after it."""
+    pair = F.explode(F.array(F.struct((F.col("__snap") - 1).alias("p"), F.lit(1).alias("s")), F.struct(F.col("__snap").alias("p"), F.lit(0).alias("s"))))
+    return rows.withColumn("__x", pair).withColumn("__pair", F.col("__x.p")).withColumn("__side", F.col("__x.s")).drop("__x").where(F.col("__pair").between(0, last))
 
 
-def merkle_diff(rows: DataFrame, snapshot: str, key: str, digest: Column, snapshots: list, depth: int = 3) -> DataFrame:
+def descend(tree: DataFrame, depth: int, pairs: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level from the top, the nodes compared (children of differing ones) and those that differ, as (__pair, __node)."""
+    steps: list[tuple[DataFrame, DataFrame]] = []
+    for level in range(1, depth + 1):
+        nodes = _sides(tree.where(F.col("__level") == level), pairs - 1)
+        if steps:
+            above = steps[-1][1].select("__pair", F.col("__node").alias("__above"))
+            nodes = nodes.withColumn("__above", F.shiftright("__node", FANOUT_BITS)).join(above, ["__pair", "__above"], "left_semi")
+        both = nodes.groupBy("__pair", "__node").agg(F.count(F.lit(1)).alias("__sides"), *[f(c).alias(f"{c}{k}") for c in ("__n", "__sum", "__xor") for k, f in ((0, F.min), (1, F.max))])
+        differs = (F.col("__sides") < 2) | (F.col("__n0") != F.col("__n1")) | (F.col("__sum0") != F.col("__sum1")) | (F.col("__xor0") != F.col("__xor1"))
+        steps.append((both.select("__pair", "__node"), both.where(differs).select("__pair", "__node")))
+    return steps
+
+
+def merkle_diff(rows: DataFrame, snapshot: str, key: str, digest: Column, snapshots: list, depth: int | None = None, keys: int | None = None) -> DataFrame:
     """Rows of consecutive snapshots that are added, removed or differ in digest.
 
     rows: one row per (snapshot, key). snapshots: the snapshot values in order (their
-    number is that of the deliveries, not of the rows). Leaves are the 16**depth hash
-    ranges of the key; choose depth so that a leaf holds a few rows.
+    number is that of the deliveries, not of the rows). keys: how many keys a snapshot
+    holds at most, counted if not given; unless ``depth`` is given, the depth of the trees
+    follows from it, so that a leaf holds about LEAF_KEYS keys at any size. What differs
+    between two snapshots opens its leaves only; a side of a join is broadcast only where
+    its known size allows.
 
     Result: one row per (old_snapshot, new_snapshot, key) with change ``added``,
     ``removed`` or ``differs``. Fewer than two snapshots give no rows. A null key is a
-    key of its own; a null digest equals only a null digest.
+    key of its own; a null digest equals only a null digest. Values of ``snapshot``
+    that are not listed are ignored.
     """
-    spark = rows.sparkSession
-    bits = FANOUT_BITS * depth
-    pairs = spark.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(zip(snapshots, snapshots[1:]))], f"__pair int, __old {dict(rows.dtypes)[snapshot]}, __new {dict(rows.dtypes)[snapshot]}"
-    )
+    if depth is None and keys is None:
+        keys = max((r[0] for r in rows.groupBy(snapshot).count().select("count").collect()), default=0)  # one row per delivery
+    depth = depth or tree_depth(keys)
+    listed = F.array(*[F.lit(s) for s in snapshots]).cast(f"array<{dict(rows.dtypes)[snapshot]}>")
     base = rows.select(
-        F.col(snapshot).alias("__snap"),
+        (F.array_position(listed, F.col(snapshot)) - 1).cast("int").alias("__snap"),
         F.col(key).alias("__key"),
-        F.pmod(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(17)), 8), F.lit(1 << bits)).cast("int").alias("__range"),
+        F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(17)), 64 - FANOUT_BITS * depth).alias("__range"),
         F.xxhash64(F.col(key), digest).alias("__digest"),
-    )
-    # At most (snapshots x 16**depth) rows: written once, read by every level.
-    leaves = write_shared(_digests(base, bits, bits), "leaves")
-    open_nodes = None
-    for level in range(1, depth + 1):
-        level_bits = FANOUT_BITS * level
-        up = leaves.groupBy("__snap", F.shiftright("__node", bits - level_bits).alias("__node")).agg(
-            F.sum("__n").alias("__n"), F.sum("__sum").alias("__sum"), F.bit_xor("__xor").alias("__xor")
-        )
-        differing = _compared(up, pairs)
-        if open_nodes is not None:
-            above = open_nodes.select("__pair", F.col("__node").alias("__above"))
-            differing = differing.join(above, (differing["__pair"] == above["__pair"]) & (F.shiftright(differing["__node"], FANOUT_BITS) == above["__above"]), "left_semi")
-        open_nodes = differing
-    sides = []
-    for side, name in ((0, "__old"), (1, "__new")):
-        of_pair = base.join(F.broadcast(pairs), base["__snap"] == pairs[name]).select("__pair", "__old", "__new", "__key", "__range", "__digest", F.lit(side).alias("__side"))
-        sides.append(of_pair)
-    both = sides[0].unionByName(sides[1])
-    # The open leaves are at most (pairs x 16**depth) rows of two integers, a bound that does not grow with the data.
-    kept = both.join(F.broadcast(open_nodes.withColumnRenamed("__node", "__range")), ["__pair", "__range"], "left_semi")
-    out = kept.groupBy("__pair", "__old", "__new", "__key").agg(F.min("__side").alias("lo"), F.max("__side").alias("hi"), F.min("__digest").alias("d0"), F.max("__digest").alias("d1"))
+    ).where("__snap >= 0")
+    tree = merkle_tree(base, depth)
+    open_leaves = write_shared(descend(tree, depth, len(snapshots) - 1)[-1][1].withColumnRenamed("__node", "__range"), "open")
+    kept = _sides(base, len(snapshots) - 2).join(open_leaves, ["__pair", "__range"], "left_semi")
+    out = kept.groupBy("__pair", "__key").agg(F.min("__side").alias("lo"), F.max("__side").alias("hi"), F.min("__digest").alias("d0"), F.max("__digest").alias("d1"))
     change = F.when(F.col("lo") == 1, "added").when(F.col("hi") == 0, "removed").when(F.col("d0") != F.col("d1"), "differs")
-    return out.select(F.col("__old").alias("old_snapshot"), F.col("__new").alias("new_snapshot"), F.col("__key").alias("key"), change.alias("change")).where("change IS NOT NULL")
+    at = lambda i: F.get(listed, i.cast("int"))
+    return out.select(at(F.col("__pair")).alias("old_snapshot"), at(F.col("__pair") + 1).alias("new_snapshot"), F.col("__key").alias("key"), change.alias("change")).where("change IS NOT NULL")

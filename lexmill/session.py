@@ -35,11 +35,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "lexmill", f"{name}-{uuid.uuid4().hex}")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back, cutting its lineage."""
+def write_shared(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder, in a folder per value of ``by``, and read it back, cutting its lineage."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
