@@ -1,20 +1,22 @@
 """Evaluation texts inside training text: an FM-index per shard of documents.
 
 A task turns the documents it reads, shard by shard, into one array of plain letters
-(form, case, spacing and punctuation taken out by a table lookup), sorts its suffixes
-to the depth of a phrase by prefix doubling, and keeps the Burrows-Wheeler column as a
-wavelet matrix over bit-packed words. All phrases of the evaluation items are searched
-at once, backwards, letter by letter, by rank queries. Their occurrences come from the
-suffix positions and are counted per document and item; of the documents that hold
-enough phrases of an item, the spans are merged and measured against the item's text.
+(form, case, spacing and punctuation taken out by a table lookup), sorts its suffixes by
+prefix doubling, and keeps the Burrows-Wheeler column as a wavelet matrix over bit-packed
+words with every few suffix positions. All phrases of the evaluation items are searched
+at once, backwards, letter by letter, by rank queries, and located by walking to the next
+sampled position. Located phrases on one diagonal of a document and an item are a run,
+runs that follow each other are a passage, and merged passages are the spans to remove.
+Documents whose spans reproduce enough of an item are those that leak it.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.normalize import SIZE, _compose, code_points, tables
+from lexmill.llm.normalize import SIZE, code_points, compose, tables
+from lexmill.session import shared_path
 
-PHRASE = 12  # letters of a search phrase; suffixes are sorted to this depth
+PHRASE = 12  # letters of a search phrase; a shorter item is one phrase
 SHARD = 2_000_000  # letters of one index, a longer text is cut into overlapping windows
-CANDIDATE = 0.12  # share of an item's phrases found in a document, from which its spans are measured
+RATE = 8  # every which suffix position is kept
+BLOCK = 20_000  # evaluation items held at once
 REPRODUCED = 0.48  # share of an item's letters in merged spans
 GAP = 16  # letters that an exchanged word may take between two spans of one passage
-PASSAGE = 24  # letters of the shortest passage; shorter runs are stock phrases
+PASSAGE = 24  # letters of the shortest passage, in items of 50 letters and more; shorter runs are stock phrases
 DENSE = 0.75  # share of a passage that is common, letter by letter
 
 
@@ -55,15 +59,21 @@ def letters() -> np.ndarray:
     return plain[to]
 
 
-def plain_letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def placed_letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plain letters of all texts, the offset of each text, and the code point of its text each letter stands at."""
     points, offsets = code_points(texts)
+    place = np.arange(len(points)) - np.repeat(offsets[:-1], np.diff(offsets))
     points = letters()[points]
     keep = points != 0
     offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
-    points = points[keep]
+    points, place = points[keep], place[keep]
     if len(points) and (((points >= 0x1100) & (points < 0x1200)) | ((points >= 0x300) & (points < 0x370))).any():
-        points, offsets = _compose(points, offsets, tables())
-    return points, offsets
+        points, offsets, place = compose(points, offsets, tables(), place)
+    return points, offsets, place
+
+
+def plain_letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return placed_letters(texts)[:2]
 
 
 class Wavelet:
@@ -101,38 +111,65 @@ class Wavelet:
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return ones[word] + np.bitwise_count(w[word] & mask)
 
+    def step(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code at each position and how often it occurs before."""
+        code, low = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for level in range(self.bits):
+            w, ones, zeros = self.words[level], self.ones[level], self.zeros[level]
+            up = (w[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+            a, b = self._ones(w, ones, low), self._ones(w, ones, at)
+            code = code << 1 | up
+            low = np.where(up, zeros + a, low - a)
+            at = np.where(up, zeros + b, at - b)
+        return code, at - low
+
+
+def suffix_order(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of the suffixes in their order, by prefix doubling over those still alike; an end sorts before any code."""
+    n = len(codes)
+    width = max(1, 63 // bits)
+    padded = np.concatenate((codes, np.zeros(width, codes.dtype)))
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        key = (key << np.uint64(bits)) | padded[k : k + n].astype(np.uint64)
+    order = np.argsort(key, kind="quicksort")
+    key = key[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))  # begins a group of suffixes alike so far
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    while True:
+        alike = np.flatnonzero(~(first & np.concatenate((first[1:], [True]))))
+        if not len(alike):
+            return order
+        some = order[alike]
+        # A suffix that ends within the width sorts before those that go on, the shorter first.
+        follow = np.where(some + width < n, rank[np.minimum(some + width, n - 1)] + n, n - 1 - some)
+        key = rank[some].astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
+        by = np.argsort(key, kind="quicksort")
+        some, key = some[by], key[by]
+        begins = np.concatenate(([True], key[1:] != key[:-1]))
+        order[alike], first[alike] = some, begins
+        rank[some] = alike[np.maximum.accumulate(np.where(begins, np.arange(len(alike)), 0))]
+        width *= 2
+
 
 class FMIndex:
     """Index of one shard; ``codes`` are 1..m, 0 separates and ends the texts.
 
-    Suffixes are ordered by their first ``depth`` codes. Backward search is exact for
-    phrases up to that length: of the rows that begin with a phrase, those preceded by
-    a code form the same block whatever follows the phrase.
+    Positions are kept of every ``rate``-th letter and of each first letter of a text, so
+    a walk to a kept position never leaves its text.
     """
 
-    def __init__(self, codes: np.ndarray, depth: int) -> None:
-        self.n, self.depth = len(codes), depth
+    def __init__(self, codes: np.ndarray, rate: int = RATE) -> None:
         top = int(codes.max(initial=0))
-        self.bits = max(1, top.bit_length())
-        step = max(1, min(depth, 63 // self.bits))
-        padded = np.concatenate((codes, np.zeros(depth + step, codes.dtype)))
-        key = np.zeros(self.n, np.uint64)
-        for k in range(step):
-            key = (key << np.uint64(self.bits)) | padded[k : k + self.n].astype(np.uint64)
-        order = np.argsort(key, kind="quicksort")
-        sorted_depth = step
-        while sorted_depth < depth:
-            ordered = key[order]
-            rank = np.empty(self.n, np.uint64)
-            rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))).astype(np.uint64)
-            follow = np.concatenate((rank[sorted_depth:] + np.uint64(1), np.zeros(min(sorted_depth, self.n), np.uint64)))[: self.n]
-            key = rank << np.uint64(32) | follow
-            order = np.argsort(key, kind="quicksort")
-            sorted_depth *= 2
-        self.positions = order
-        before = codes[order - 1]  # row of position 0 is preceded by the last separator
-        self.tree = Wavelet(before, self.bits)
+        bits = max(1, top.bit_length())
+        order = suffix_order(codes, bits)
+        before = codes[order - 1]  # the row of position 0 is preceded by the last separator
+        self.tree = Wavelet(before, bits)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=top + 2))))
+        self.kept = (order % rate == 0) | (before == 0)
+        self.number = np.concatenate(([0], np.cumsum(self.kept)))
+        self.positions = order[self.kept]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks [lo, hi) of rows that begin with each phrase (rows of codes, 0 = matches nothing)."""
@@ -152,184 +189,297 @@ class FMIndex:
         return lo_all, hi_all
 
     def locate(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the phrase, position) of all occurrences."""
+        """(number of the phrase, position) of all occurrences, walked backwards to the next kept position."""
         found = np.maximum(hi - lo, 0)
         which = np.repeat(np.arange(len(lo)), found)
         row = np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found) + np.repeat(lo, found)
-        return which, self.positions[row]
+        walked = np.zeros(len(row), np.int64)
+        going = np.flatnonzero(~self.kept[row])
+        while len(going):
+            code, before = self.tree.step(row[going])
+            row[going] = self.first[code] + before
+            walked[going] += 1
+            going = going[~self.kept[row[going]]]
+        return which, self.positions[self.number[row]] + walked
+
+
+@dataclass
+class Phrases:
+    """Distinct phrases of one length, and the items and places each occurs at."""
+
+    size: int
+    phrases: np.ndarray  # one row of code points each
+    start: np.ndarray  # item[start[p]:start[p+1]] are the items phrase p occurs in
+    item: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, size: int, texts: dict[int, np.ndarray]) -> Phrases:
+        rows = [np.lib.stride_tricks.sliding_window_view(t, size) for t in texts.values()]
+        owner = np.repeat(np.array(list(texts)), [len(r) for r in rows])
+        place = np.concatenate([np.arange(len(r)) for r in rows])
+        phrases, number = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        order = np.argsort(number.ravel(), kind="stable")
+        return cls(size, phrases, np.concatenate(([0], np.cumsum(np.bincount(number.ravel(), minlength=len(phrases))))), owner[order], place[order])
+
+    def uses(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For occurrences of phrases: (number of the occurrence, item, place in the item) of every use."""
+        n = self.start[which + 1] - self.start[which]
+        at = np.repeat(self.start[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(which)), n), self.item[at], self.place[at]
 
 
 @dataclass
 class Items:
-    """The evaluation items as plain letters and their distinct phrases."""
+    """Evaluation items as plain letters and their phrases by length; an item shorter than a phrase is a phrase of its own."""
 
-    ids: np.ndarray
-    points: np.ndarray
-    offsets: np.ndarray
-    phrases: np.ndarray  # distinct phrases, one row of code points each
-    use_start: np.ndarray  # uses[use_start[p]:use_start[p+1]] are the items phrase p occurs in
-    uses: np.ndarray
-    counts: np.ndarray  # phrases of each item
+    ids: list
+    lengths: np.ndarray
+    sets: list[Phrases]
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str | None], size: int = PHRASE) -> Items:
+    def of(cls, ids: list, texts: list[str | None], size: int = PHRASE) -> Items:
         points, offsets = plain_letters(pa.array(texts, pa.string()))
-        rows, owner = [], []
-        for i in range(len(ids)):
-            p = points[offsets[i] : offsets[i + 1]]
-            if len(p) >= size:
-                w = np.lib.stride_tricks.sliding_window_view(p, size)
-                rows.append(w)
-                owner.append(np.full(len(w), i))
-        if not rows:
-            return cls(np.array(ids), points, offsets, np.zeros((0, size), np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(ids), np.int64))
-        every, owners = np.concatenate(rows), np.concatenate(owner)
-        phrases, number = np.unique(every, axis=0, return_inverse=True)
-        number = number.ravel()
-        order = np.argsort(number, kind="stable")
-        start = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(phrases)))))
-        return cls(np.array(ids), points, offsets, phrases, start, owners[order], np.bincount(owners, minlength=len(ids)))
-
-    def text(self, i: int) -> np.ndarray:
-        return self.points[self.offsets[i] : self.offsets[i + 1]]
-
-
-def spans(item: np.ndarray, doc: np.ndarray, size: int = PHRASE) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least ``size`` letters as (start in item, start in doc, length)."""
-    if len(item) < size or len(doc) < size:
-        return []
-    view = np.lib.stride_tricks.sliding_window_view
-    mix = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    hi, hd = (view(x.astype(np.uint64), size) @ mix for x in (item, doc))
-    order = np.argsort(hd, kind="stable")
-    lo, up = np.searchsorted(hd[order], hi, "left"), np.searchsorted(hd[order], hi, "right")
-    found = up - lo
-    a = np.repeat(np.arange(len(hi)), found)
-    b = order[np.arange(len(a)) - np.repeat(np.cumsum(found) - found, found) + np.repeat(lo, found)]
-    diagonal = b - a
-    by = np.lexsort((a, diagonal))
-    a, b, diagonal = a[by], b[by], diagonal[by]
-    starts = np.flatnonzero(np.concatenate(([True], (np.diff(diagonal) != 0) | (np.diff(a) != 1)))) if len(a) else np.zeros(0, int)
-    ends = np.concatenate((starts[1:], [len(a)])) if len(a) else starts
-    return [(int(a[s]), int(b[s]), int(e - s) + size - 1) for s, e in zip(starts, ends)]
-
-
-def reproduced(item: np.ndarray, doc: np.ndarray, size: int = PHRASE, gap: int = GAP, passage: int = PASSAGE) -> float:
-    """Share of the item's letters that the document reproduces.
-
-    Runs that follow each other in both texts within ``gap`` letters are one passage, an
-    exchanged word between them included. A single short run, as stock phrases give, is none.
+        lengths = np.diff(offsets)
+        by_size: dict[int, dict[int, np.ndarray]] = {}
+        for i, n in enumerate(lengths.tolist()):
+            if n:
+                by_size.setdefault(min(n, size), {})[i] = points[offsets[i] : offsets[i + 1]]
+        return cls(ids, lengths, [Phrases.of(k, v) for k, v in sorted(by_size.items())])
+
+
+def shortest_passage(letters_: int) -> int:
+    """Of an item of so many letters: PASSAGE, or less where half an item is less."""
+    return min(PASSAGE, max(min(PHRASE, letters_), ceil(REPRODUCED * letters_)))
+
+
+@dataclass
+class Runs:
+    """Stretches common to a text and an item: text, item, begin in both, length; sorted by text, item and place in the item."""
+
+    text: np.ndarray
+    item: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def joined(cls, size: int, text: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> Runs:
+        """Located phrases that follow each other on one diagonal as one run."""
+        by = np.lexsort((a, b - a, item, text))
+        text, item, a, b = text[by], item[by], a[by], b[by]
+        same = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (b[1:] - a[1:] == b[:-1] - a[:-1]) & (a[1:] - a[:-1] == 1)
+        begin = np.flatnonzero(np.concatenate(([True], ~same))) if len(a) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate((begin, [len(a)]))) + size - 1
+        return cls(text[begin], item[begin], a[begin], b[begin], n).ordered()
+
+    def ordered(self) -> Runs:
+        by = np.lexsort((self.n, self.b, self.a, self.item, self.text))
+        return Runs(*(x[by] for x in (self.text, self.item, self.a, self.b, self.n)))
+
+    @classmethod
+    def united(cls, runs: list[Runs]) -> Runs:
+        return cls(*(np.concatenate([getattr(r, k) for r in runs]) for k in ("text", "item", "a", "b", "n"))).ordered()
+
+    def groups(self, lengths: np.ndarray) -> list[tuple[int, int]]:
+        """[from, to) of the runs of each text and item whose letters can make up the share asked for: passages hold DENSE of their letters at least."""
+        if not len(self.text):
+            return []
+        begin = np.flatnonzero(np.concatenate(([True], (self.text[1:] != self.text[:-1]) | (self.item[1:] != self.item[:-1]))))
+        group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate((begin, [len(self.text)]))))
+        far = int((self.a + self.n).max()) + 1
+        ends = np.maximum.accumulate(self.a + self.n + group * far)
+        reached = np.concatenate(([0], ends[:-1]))
+        new = np.maximum(0, self.a + self.n + group * far - np.maximum(reached, self.a + group * far))
+        enough = np.bincount(group, new) >= DENSE * REPRODUCED * lengths[self.item[begin]] - 1e-9
+        stop = np.concatenate((begin[1:], [len(self.text)]))
+        return list(zip(begin[enough].tolist(), stop[enough].tolist()))
+
+
+def passages(runs: list[tuple[int, int, int]], shortest: int, size: int, gap: int = GAP) -> list[tuple[int, int, int, int]]:
+    """(begin, end) in the item and in the text of passages, from runs in the order of the item.
+
+    Runs that follow each other in both within ``gap`` letters are one passage, an exchanged
+    word between them included. A single short run, as stock phrases give, is none.
     """
-    if not len(item):
-        return 0.0
-    runs = sorted(spans(item, doc, size))
-    covered = np.zeros(len(item), bool)
+    out = []
     used = [False] * len(runs)
     for i, (a, b, n) in enumerate(runs):
         if used[i]:
             continue
-        parts, end_a, end_b = [(a, n)], a + n, b + n
+        end_a, end_b, common = a + n, b + n, n
         for j in range(i + 1, len(runs)):
             c, d, m = runs[j]
             if c > end_a + gap:
                 break
             if not used[j] and c + m > end_a and -size < c - end_a <= gap and -size < d - end_b <= gap and abs((c - end_a) - (d - end_b)) <= gap // 2:
                 used[j] = True
-                parts.append((c, m))
+                common += c + m - max(c, end_a)
                 end_a, end_b = c + m, d + m
-        if end_a - a >= passage and (len(parts) == 1 or sum(m for _, m in parts) >= DENSE * (end_a - a)):
-            covered[a:end_a] = True
-    return float(covered.mean())
-
-
-def _phrases_of(points: np.ndarray, starts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, phrase number) pairs in one shard; ``points`` holds 0 after each text."""
-    present = np.zeros(SIZE, bool)
-    present[points] = True
-    present[0] = False
-    alphabet = np.flatnonzero(present)
-    code = np.zeros(SIZE, np.uint32)
-    code[alphabet] = np.arange(1, len(alphabet) + 1)
-    index = FMIndex(code[points], items.phrases.shape[1])
-    which, at = index.locate(*index.search(code[items.phrases]))
-    text = np.searchsorted(starts, at, "right") - 1
-    pairs = np.unique(text * len(items.phrases) + which)
-    return pairs // len(items.phrases), pairs % len(items.phrases)
+        if end_a - a >= shortest and common >= DENSE * (end_a - a):
+            out.append((a, end_a, b, end_b))
+    return out
 
 
-def leaks_in(doc_ids: list, points: np.ndarray, offsets: np.ndarray, items: Items, shard: int = SHARD) -> list[tuple]:
-    """(doc_id, item_id) of the documents that reproduce an item, all texts indexed in shards of ``shard`` letters."""
-    out: list[tuple] = []
-    n_items, size = len(items.ids), items.phrases.shape[1]
-    if not len(items.phrases):
-        return out
-    lengths = np.diff(offsets)
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Shard:
+    """Texts indexed together; ``points`` holds 0 after each text."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        present = np.zeros(SIZE, bool)
+        present[points] = True
+        present[0] = False
+        alphabet = np.flatnonzero(present)
+        self.code = np.zeros(SIZE, np.uint32)
+        self.code[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.index = FMIndex(self.code[points])
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        return self.index.locate(*self.index.search(self.code[phrases.phrases]))
+
+
+def _runs(shard: Shard, starts: np.ndarray, items: Items, limit: int | None = None, shift: int = 0) -> list[Runs]:
+    """Runs of all texts of a shard that begin before ``limit``."""
+    out = []
+    for p in items.sets:
+        which, at = shard.occurrences(p)
+        if limit is not None:
+            which, at = which[at < limit], at[at < limit]
+        number, item, place = p.uses(which)
+        text = np.searchsorted(starts, at, "right") - 1
+        out.append(Runs.joined(p.size, text[number], item, place, (at - starts[text])[number] + shift))
+    return out
+
 
-    def judge(first: int, texts: np.ndarray, phrases: np.ndarray, count: int) -> None:
-        uses = items.use_start[phrases + 1] - items.use_start[phrases]
-        item = items.uses[np.repeat(items.use_start[phrases], uses) + np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)]
-        score = np.bincount(np.repeat(texts, uses) * n_items + item, minlength=count * n_items)
-        enough = np.maximum(1, CANDIDATE * items.counts)
-        for x in np.flatnonzero(score >= np.tile(enough, count)):
-            t, i = first + x // n_items, x % n_items
-            if reproduced(items.text(i), points[offsets[t] : offsets[t + 1]], size) >= REPRODUCED:
-                out.append((doc_ids[t], items.ids[i]))
+def _judged(runs: Runs, items: Items) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
+    """(text, item, share of the item's letters, merged spans in the text) where the share is enough."""
+    for s, e in runs.groups(items.lengths):
+        i = int(runs.item[s])
+        length = int(items.lengths[i])
+        found = passages(list(zip(runs.a[s:e].tolist(), runs.b[s:e].tolist(), runs.n[s:e].tolist())), shortest_passage(length), min(PHRASE, length))
+        share = sum(b - a for a, b in merged([(a, b) for a, b, _, _ in found])) / length
+        if share >= REPRODUCED:
+            yield int(runs.text[s]), i, share, merged([(c, d) for _, _, c, d in found])
 
+
+def reproduced(item: np.ndarray, doc: np.ndarray) -> float:
+    """Share of the item's letters that the passages of one document reproduce."""
+    if not len(item) or not len(doc):
+        return 0.0
+    size = min(PHRASE, len(item))
+    known = Items([0], np.array([len(item)]), [Phrases.of(size, {0: item})])
+    runs = Runs.united(_runs(Shard(np.concatenate((doc, [0])).astype(np.uint32)), np.zeros(1, np.int64), known))
+    found = passages(list(zip(runs.a.tolist(), runs.b.tolist(), runs.n.tolist())), shortest_passage(len(item)), size)
+    return sum(b - a for a, b in merged([(a, b) for a, b, _, _ in found])) / len(item)
+
+
+def spans_in(points: np.ndarray, offsets: np.ndarray, blocks: Callable[[], Iterable[Items]], shard: int = SHARD) -> Iterator[tuple[int, object, float, list[tuple[int, int]]]]:
+    """(number of the text, item_id, share, spans in letters) of texts that reproduce an item; each shard of ``shard`` letters is indexed once for all blocks of items."""
+    lengths = np.diff(offsets)
     first = 0
     while first < len(lengths):
-        if lengths[first] > shard:  # windows that overlap by a phrase; their phrases are united
-            text, found = points[offsets[first] : offsets[first + 1]], []
-            for s in range(0, len(text), shard):
-                window = np.concatenate((text[s : s + shard + size - 1], [0])).astype(np.uint32)
-                found.append(_phrases_of(window, np.zeros(1, np.int64), items)[1])
-            phrases = np.unique(np.concatenate(found))
-            judge(first, np.zeros(len(phrases), np.int64), phrases, 1)
+        if lengths[first] > shard:  # windows that overlap by a phrase; their runs are joined again by the passages
+            text = points[offsets[first] : offsets[first + 1]]
+            windows = [(s, Shard(np.concatenate((text[s : s + shard + PHRASE - 1], [0])).astype(np.uint32))) for s in range(0, len(text), shard)]
+            for items in blocks():
+                parts = [r for s, w in windows for r in _runs(w, np.zeros(1, np.int64), items, shard, s)]
+                for _, i, share, spans in _judged(Runs.united(parts), items):
+                    yield first, items.ids[i], share, spans
             first += 1
             continue
         last = int(np.searchsorted(offsets, offsets[first] + shard, "right")) - 1
         last = min(max(last, first + 1), len(lengths))
         too_long = np.flatnonzero(lengths[first:last] > shard)
         last = first + int(too_long[0]) if len(too_long) else last
-        part = points[offsets[first] : offsets[last]]
         ends = offsets[first + 1 : last + 1] - offsets[first]
-        joined = np.insert(part, ends, 0)
+        indexed = Shard(np.insert(points[offsets[first] : offsets[last]], ends, 0))
         starts = offsets[first:last] - offsets[first] + np.arange(last - first)
-        texts, phrases = _phrases_of(joined, starts, items)
-        judge(first, texts, phrases, last - first)
+        for items in blocks():
+            parts = _runs(indexed, starts, items)
+            if parts:
+                for t, i, share, spans in _judged(Runs.united(parts), items):
+                    yield first + t, items.ids[i], share, spans
         first = last
-    return out
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = 20_000) -> DataFrame:
-    """(doc_id, item_id) of documents that reproduce about half of an item's text or more.
+def leaks_in(doc_ids: list, points: np.ndarray, offsets: np.ndarray, items: Items, shard: int = SHARD) -> list[tuple]:
+    """(doc_id, item_id) of the documents that reproduce an item."""
+    return [(doc_ids[t], i) for t, i, _, _ in spans_in(points, offsets, lambda: [items], shard)]
+
+
+@lru_cache(maxsize=1)
+def _only_block(path: str, rows: int) -> Items | None:
+    """The items if they are one block, read once per process."""
+    found = list(_read_blocks(path, rows, 2))
+    return found[0] if len(found) == 1 else None
 
-    The held-out items are the stated query set: they are read in blocks of ``block``
-    items, each block against all documents, so what goes to the executors is bounded by
-    a block. Documents are read once per block, indexed where they are read, and never
-    shuffled. A null or empty text matches nothing; items shorter than a phrase match
-    nothing; each pair comes out once per row of the document.
+
+def _read_blocks(path: str, rows: int, most: int | None = None) -> Iterator[Items]:
+    """Items of the shared table in blocks of ``rows``, whatever its files."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    plain = path.removeprefix("file:")
+    files, plain = fs.FileSystem.from_uri(path) if "://" in path and not path.startswith("file:") else (fs.LocalFileSystem(), "/" + plain.lstrip("/"))
+    ids: list = []
+    texts: list = []
+    sent = 0
+    for b in ds.dataset(plain, format="parquet", filesystem=files).to_batches(batch_size=rows):
+        ids += b.column(0).to_pylist()
+        texts += b.column(1).to_pylist()
+        while len(ids) >= rows and sent != most:
+            yield Items.of(ids[:rows], texts[:rows])
+            ids, texts, sent = ids[rows:], texts[rows:], sent + 1
+    if ids and sent != most:
+        yield Items.of(ids, texts)
+
+
+def leak_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, part, start, end, share): the spans of documents that reproduce about half of an item's text or more.
+
+    Spans are half-open ranges of code points of the document, merged, numbered from 0
+    within document and item; share is the item's share that all of them reproduce.
+
+    The held-out items are written to the shared folder once and read there by the tasks,
+    at most ``block`` at a time; documents are read once, indexed where they are read, and
+    never shuffled. A null or empty text matches nothing; an item of fewer letters than a
+    phrase must occur whole; a repeated row of a document comes out as often.
     """
-    rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id), F.col(item_text))
-    total = rows.count()
-    schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}"
-    types = pa.schema([("doc_id", _arrow(documents, doc_id)), ("item_id", _arrow(items, item_id))])
-    blocks = max(1, -(-total // block))
-    source = documents.where(F.col(text).isNotNull()).select(doc_id, text)
-    result = None
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k)
-        got = part.collect()  # at most a block of the query set
-        known = Items.of([r[0] for r in got], [r[1] for r in got])
-
-        def run(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
-            for ids, texts in gathered(batches):
-                points, offsets = plain_letters(texts)
-                found = leaks_in(ids, points, offsets, known)
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], types.field(0).type), pa.array([int(i) for _, i in found], types.field(1).type)], schema=types)
-
-        found = source.mapInArrow(run, schema)
-        result = found if result is None else result.unionByName(found)
-    return result
+    rows = items.where(F.col(item_id).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    path = shared_path(documents.sparkSession, "items")
+    rows.write.option("maxRecordsPerFile", block).parquet(path)
+    types = pa.schema([("doc_id", _arrow(documents, doc_id)), ("item_id", _arrow(items, item_id)), ("part", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("share", pa.float64())])
+    schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, part int, start int, end int, share double"
+
+    def blocks() -> Iterable[Items]:
+        one = _only_block(path, block)
+        return [one] if one is not None else _read_blocks(path, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in gathered(batches):
+            points, offsets, place = placed_letters(texts)
+            found = []
+            for t, item, share, spans in spans_in(points, offsets, blocks):
+                at = place[offsets[t] : offsets[t + 1]]
+                found += [(ids[t], item, k, int(at[a]), int(at[b - 1]) + 1, share) for k, (a, b) in enumerate(spans)]
+            columns = list(zip(*found)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
+
+    return documents.where(F.col(text).isNotNull()).select(doc_id, text).mapInArrow(run, schema)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id) of documents that hold spans of an item, see ``leak_spans``."""
+    return leak_spans(documents, items, doc_id, text, item_id, item_text, block).where("part = 0").select("doc_id", "item_id")
 
 
 def gathered(batches: Iterator[pa.RecordBatch], letters_: int = SHARD) -> Iterator[tuple[list, pa.Array]]:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 
 from lexmill.session import write_shared
 
-TOKENIZER = os.environ.get("LEXMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the pattern that splits a text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1000  # documents of a block
@@ -40,14 +38,15 @@ def _encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(df: DataFrame, text: str, keep: list[str], path: str = TOKENIZER) -> DataFrame:
-    """``keep`` columns and the number of tokens of the whole text; 0 for a null or empty text. Narrow."""
+def count_tokens(df: DataFrame, text: str, keep: list[str], path: str) -> DataFrame:
+    """``keep`` columns and the number of tokens of the whole text by the rank file ``path``; 0 for a null or empty text. Narrow."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path)
         for b in batches:
-            counts = [len(encoding.encode_ordinary(x)) if x else 0 for x in b.column(b.num_columns - 1).to_pylist()]
+            texts = [x or "" for x in b.column(b.num_columns - 1).to_pylist()]
+            counts = list(map(len, encoding.encode_ordinary_batch(texts, num_threads=1)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64())], [*keep, "tokens"])
 
     return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
@@ -111,45 +110,45 @@ def land(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def _round(seed: int, last: bool):
     def run(pdf):
-        pdf = pdf.sort_values(["doc_id", "copy"], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "body"], kind="stable")
         key = f"{pdf['source'].iloc[0]}|{pdf['block'].iloc[0]}|{seed}"
         rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little"))
         p = flight(pdf["p"].to_numpy(), pdf["tokens"].to_numpy(), rng)
         if last:
             p = land(p, pdf["tokens"].to_numpy())
-        return pdf.assign(p=p)[["doc_id", "copy", "source", "tokens", "p"]]
+        return pdf.assign(p=p)[["doc_id", "body", "source", "tokens", "p"]]
 
     return run
 
 
-def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, path: str = TOKENIZER, seed: int = 7, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, *, path: str, seed: int = 7, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares): doc_id, source, tokens and copies of each document used; the shares reached.
 
     targets(source, target_share, max_repeats) is a small list, read by the driver, as
     are the totals per source. Documents of other or null sources are not used; null and
-    empty texts have no tokens and are not used. Rows with the same doc_id count as
-    rows of their own. No document is used more than max_repeats times, and a source
-    misses its tokens by less than two documents'. The same seed gives the same choice.
+    empty texts have no tokens and are not used. Rows alike in doc_id, source and text are
+    one document, rows of one doc_id with other texts are others. No document is used more
+    than max_repeats times, and a source misses its tokens by less than two documents'. The
+    same rows and seed give the same choice, however the rows are laid out.
     """
     wanted = [(r[0], float(r[1] or 0), int(r[2] or 0)) for r in targets.select(source_name(F.col("source")), "target_share", "max_repeats").where("source IS NOT NULL").collect()]
     named = documents.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("text"))
-    listed = named.where(F.col("source").isin([w[0] for w in wanted]) & (F.length("text") > 0))
-    # Texts are tokenized once; the table of sizes is narrow.
-    sized = write_shared(count_tokens(listed, "text", ["doc_id", "source"], path).where("tokens > 0"), "tokens")
+    listed = named.where(F.col("source").isin([w[0] for w in wanted]) & (F.length("text") > 0)).withColumn("body", F.xxhash64("text"))
+    # Texts are tokenized once; the table of sizes is narrow, and repeated rows are one before they are shuffled.
+    counted = count_tokens(listed, "text", ["doc_id", "source", "body"], path).where("tokens > 0")
+    sized = write_shared(counted.groupBy("doc_id", "source", "body").agg(F.max("tokens").alias("tokens")), "tokens")
     sums = {r[0]: (int(r[1]), int(r[2])) for r in sized.groupBy("source").agg(F.sum("tokens"), F.count(F.lit(1))).collect()}  # one row per listed source
     given = allocate({s: v[0] for s, v in sums.items()}, wanted, total)
     rate = {s: given[s] / sums[s][0] for s in sums}
     spark = documents.sparkSession
     rates = spark.createDataFrame([(s, float(r)) for s, r in rate.items()], "source string, rate double")
-    # Rows of one doc_id keep apart by their number, which is small unless an id repeats without end.
     each = sized.join(F.broadcast(rates), "source").withColumn("sure", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
-    each = write_shared(each.withColumn("copy", F.monotonically_increasing_id()), "rates")
-    open_ = each.where(f"p > {EPS}").select("doc_id", "copy", "source", "tokens", "p")
+    open_ = each.where(f"p > {EPS}").select("doc_id", "body", "source", "tokens", "p")
     largest = max((v[1] for v in sums.values()), default=0)
     decided, level = None, 0
     while True:
         blocks = max(1, -(-largest // block))
-        cut = open_.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed + level)), F.lit(blocks)))
+        cut = open_.withColumn("block", F.pmod(F.xxhash64("doc_id", "body", F.lit(seed + level)), F.lit(blocks)))
         done = cut.groupBy("source", "block").applyInPandas(_round(seed + level, blocks == 1), open_.schema)
         done = write_shared(done, "flight")
         settled = done.where(f"p <= {EPS} OR p >= 1 - {EPS}")
@@ -157,8 +156,8 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
         if blocks == 1:
             break
         open_, largest, level = done.where(f"p > {EPS} AND p < 1 - {EPS}"), 2 * blocks, level + 1
-    extra = decided.where("p > 0.5").select("copy", F.lit(1).alias("extra"))
-    chosen = each.join(extra, "copy", "left").select("doc_id", "source", "tokens", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies")).where("copies > 0")
+    extra = decided.where("p > 0.5").select("doc_id", "body", "source", F.lit(1).alias("extra"))
+    chosen = each.join(extra, ["doc_id", "body", "source"], "left").select("doc_id", "source", "tokens", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies")).where("copies > 0")
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     plan = spark.createDataFrame([(s, share, repeats, sums.get(s, (0, 0))[0], given[s]) for s, share, repeats in wanted], "source string, target_share double, max_repeats int, available_tokens bigint, planned_tokens double")
     shares = plan.join(F.broadcast(used), "source", "left").na.fill({"used": 0, "documents": 0, "most_copies": 0})

@@ -2,8 +2,8 @@
 
 A whole Arrow batch is copied into one array of code points. Lookup tables are
 gathered over it (class, replacement, length of the expansion), deletions and
-expansions move the row offsets, and Hangul and accents are composed by array
-arithmetic on neighbouring code points. No string function is called per row.
+expansions move the row offsets, and Hangul and accents are put in order and composed by
+array arithmetic on neighbouring code points. No string function is called per row.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ LOOKALIKES = {
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮓ": "Z", "Ꭰ": "D", "Ꮢ": "R", "Ꭵ": "i",
     "ɡ": "g", "ı": "i", "ɑ": "a", "ǀ": "l", "ℓ": "l",
 }
+# The blocks of the scripts whose letters may look like Latin ones.
+SCRIPTS = {"Greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "Cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F)), "Armenian": ((0x530, 0x58F),), "Cherokee": ((0x13A0, 0x13FF),)}
 # Dots that stand in for the middle dot, strokes and points that stand in for an ASCII sign.
 MIDDLE_DOTS = "ㆍ・･•‧ᆞ∙⋅·ᐧ⸱⸳ꞏ𐄁᛫⦁"
 SIGNS = {"‐": "-", "‑": "-", "−": "-", "˗": "-", "⁃": "-", "․": ".", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "꞉": ":", "‚": ",", "∼": "~", "˜": "~", "ʼ": "'", "ʹ": "'", "′": "'", "❘": "|", "∣": "|", "；": ";", "ǃ": "!"}
@@ -66,6 +68,24 @@ class Tables:
                 if c not in replaced and plain != chr(c):
                     replaced[c] = plain
         replaced |= {ord("･"): "·", ord("・"): "·"}
+        self.mark_class = np.zeros(SIZE, np.uint8)  # canonical order of marks
+        full: dict[int, str] = {}
+        pairs: dict[int, int] = {}
+        for c in range(0xC0, 0x30000):
+            if SYLLABLE <= c < SYLLABLE + 11172 or 0xD800 <= c < 0xE000:
+                continue
+            char = chr(c)
+            self.mark_class[c] = unicodedata.combining(char)
+            apart = unicodedata.decomposition(char)
+            if not apart or apart[0] == "<":
+                continue
+            full[c] = unicodedata.normalize("NFD", char)
+            composed = unicodedata.normalize("NFC", char)
+            if composed == char:
+                if len(d := apart.split()) == 2:
+                    pairs[int(d[0], 16) << 32 | int(d[1], 16)] = c
+            elif c not in replaced:
+                replaced[c] = composed
         for c, plain in replaced.items():
             self.odd[c] = True
             self.length[c] = len(plain)
@@ -75,16 +95,32 @@ class Tables:
                 self.extra_at[c] = len(extra)
                 extra += map(ord, plain)
         self.extra = np.array(extra or [0], np.uint32)
-        pairs = {}
-        for a in (*range(0xC0, 0x250), *range(0x1E00, 0x2000), *range(0x3040, 0x3100)):
-            d = unicodedata.decomposition(chr(a)).split()
-            if len(d) == 2 and "<" not in d[0] and unicodedata.normalize("NFC", chr(a)) == chr(a):
-                pairs[int(d[0], 16) << 32 | int(d[1], 16)] = a
         self.pair_keys = np.array(sorted(pairs), np.uint64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
-        self.is_mark = np.zeros(SIZE, bool)
-        for a, b in MARKS:
-            self.is_mark[a : b + 1] = True
+        self.follows = self.mark_class > 0  # may be composed with what precedes it
+        self.follows[[k & 0xFFFFFFFF for k in pairs]] = True
+        for a, b in CONJOINING:
+            self.follows[a : b + 1] = False  # composed by arithmetic
+        self.apart = np.ones(SIZE, np.uint8)  # length of the full decomposition
+        self.apart_at = np.zeros(SIZE, np.uint32)
+        parts: list[int] = []
+        for c, text in full.items():
+            self.apart[c], self.apart_at[c] = len(text), len(parts)
+            parts += map(ord, text)
+        self.parts = np.array(parts, np.uint32)
+        self.script = np.zeros(SIZE, np.uint8)  # of letters that may stand in for Latin ones, 1 for Latin and digits
+        for k, name in enumerate(SCRIPTS, 2):
+            for a, b in SCRIPTS[name]:
+                for c in range(a, b + 1):
+                    if unicodedata.category(chr(c))[0] == "L":
+                        self.script[c] = k
+        for a, b in ((48, 57), (65, 90), (97, 122), (0xC0, 0x24F)):
+            self.script[a : b + 1] = 1
+        self.letter = self.script > 0
+        for a, b in ((0x300, 0x36F), (0x1100, 0x11FF), (0x3131, 0x318E), (0xA960, 0xA97C), (0x3400, 0x9FFF), (0xAC00, 0xD7FB), (0x3040, 0x30FF)):
+            self.letter[a : b + 1] = True
+        self.look = np.zeros(SIZE, bool)
+        self.look[[ord(c) for c in LOOKALIKES]] = True
 
 
 @cache
@@ -153,20 +189,22 @@ def resolve_references(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     padded = np.concatenate((points, np.zeros(12, np.uint32)))
     at = at[~_inside(points, offsets, "<![CDATA[", "]]>")[at]]
     is_hex = (padded[at + 2] | 32) == 120
-    value, end, done = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
-    pos, good = at + 2 + is_hex, np.ones(len(at), bool)
-    for step in range(8):
-        c = padded[pos].astype(np.int64)
-        low = c | 32
-        digit = np.where((c >= 48) & (c <= 57), c - 48, np.where(is_hex & (low >= 97) & (low <= 102), low - 87, -1))
-        closes = ~done & good & (c == 59) & (step > 0)
-        end[closes] = pos[closes]
-        done |= closes
-        good &= done | (digit >= 0)
-        value = np.where(~done & good, value * np.where(is_hex, 16, 10) + digit, value)
-        pos = np.minimum(pos + 1, len(padded) - 1)
+    from_ = at + 2 + is_hex
+    # Where digits end and where zeros end, looked up among the characters that are none.
+    low = padded | 32
+    no_digit = np.flatnonzero((padded < 48) | (padded > 57))
+    no_hex = np.flatnonzero(((padded < 48) | (padded > 57)) & ((low < 97) | (low > 102)))
+    no_zero = np.flatnonzero(padded != 48)
+    end = np.where(is_hex, no_hex[np.searchsorted(no_hex, from_)], no_digit[np.searchsorted(no_digit, from_)])
+    significant = np.minimum(no_zero[np.searchsorted(no_zero, from_)], end)
+    value = np.zeros(len(at), np.int64)
+    for step in range(7):  # no character needs more digits
+        pos = significant + step
+        c = padded[np.minimum(pos, len(padded) - 1)].astype(np.int64)
+        digit = np.where(c <= 57, c - 48, (c | 32) - 87)
+        value = np.where(pos < end, value * np.where(is_hex, 16, 10) + digit, value)
     row_end = offsets[np.searchsorted(offsets, at, "right")]
-    fine = done & (end < row_end) & (value > 62) & (value < SIZE) & ((value < 0xD800) | (value > 0xDFFF))
+    fine = (padded[end] == 59) & (end > from_) & (end - significant <= 7) & (end < row_end) & (value > 62) & (value < SIZE) & ((value < 0xD800) | (value > 0xDFFF))
     if not fine.any():
         return points, offsets
     at, end, value = at[fine], end[fine], value[fine]
@@ -179,40 +217,117 @@ def resolve_references(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return points[keep], _shifted(offsets, keep)
 
 
-def _compose(points: np.ndarray, offsets: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """Conjoining Hangul and base + mark pairs as one code point each."""
-    def merge(points, offsets, hit, new):
-        points = points.copy()
-        points[hit] = new
-        keep = np.ones(len(points), bool)
-        keep[hit + 1] = False
-        return points[keep], _shifted(offsets, keep)
+def _merge(points: np.ndarray, offsets: np.ndarray, along: list[np.ndarray], hit: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``new`` at the places ``hit``, without what follows them."""
+    points = points.copy()
+    points[hit] = new
+    keep = np.ones(len(points), bool)
+    keep[hit + 1] = False
+    return points[keep], _shifted(offsets, keep), [x[keep] for x in along]
+
 
-    def pairs(points, offsets):
+def compose(points: np.ndarray, offsets: np.ndarray, t: Tables, *along: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Conjoining Hangul and bases with their marks as one code point each; arrays given ``along`` keep the entry of the first part."""
+    rest = list(along)
+
+    def neighbours(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         same_row = np.ones(max(len(points) - 1, 0), bool)
         inner = offsets[(offsets > 0) & (offsets < len(points))]
         same_row[inner - 1] = False
         return points[:-1], points[1:], same_row
 
     if ((points >= L) & (points < L + 19)).any():
-        a, b, same = pairs(points, offsets)
+        a, b, same = neighbours(points, offsets)
         hit = np.flatnonzero(same & (a - np.uint32(L) < 19) & (b - np.uint32(V) < 21))
-        points, offsets = merge(points, offsets, hit, SYLLABLE + ((points[hit] - L) * 21 + points[hit + 1] - V) * 28)
+        points, offsets, rest = _merge(points, offsets, rest, hit, SYLLABLE + ((points[hit] - L) * 21 + points[hit + 1] - V) * 28)
     if ((points > T) & (points <= T + 27)).any():
-        a, b, same = pairs(points, offsets)
+        a, b, same = neighbours(points, offsets)
         hit = np.flatnonzero(same & (a - np.uint32(SYLLABLE) < 11172) & ((a - np.uint32(SYLLABLE)) % 28 == 0) & (b - np.uint32(T + 1) < 27))
-        points, offsets = merge(points, offsets, hit, points[hit] + points[hit + 1] - T)
-    for _ in range(4):
-        if not t.is_mark[points].any():
-            break
-        a, b, same = pairs(points, offsets)
-        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        points, offsets, rest = _merge(points, offsets, rest, hit, points[hit] + points[hit + 1] - T)
+    if t.follows[points].any():
+        points, offsets, rest = _compose_marks(points, offsets, rest, t)
+    return points, offsets, *rest
+
+
+def _compose_marks(points: np.ndarray, offsets: np.ndarray, rest: list[np.ndarray], t: Tables) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Bases with any number of marks: taken apart, marks ordered by class, composed again mark by mark over all sequences at once."""
+    # What is touched: characters that follow, and the one before the first of them in its row.
+    begins = np.zeros(len(points) + 1, bool)
+    begins[offsets] = True
+    follows = t.follows[points]
+    touched = follows.copy()
+    touched[:-1] |= follows[1:] & ~begins[1:-1]
+    length = np.where(touched, t.apart[points], 1).astype(np.int64)
+    source = np.repeat(np.arange(len(points)), length)
+    within = np.arange(len(source)) - np.repeat(np.cumsum(length) - length, length)
+    split = (length > 1)[source]
+    out = points[source]
+    out[split] = t.parts[t.apart_at[points[source[split]]] + within[split]]
+    offsets = np.concatenate(([0], np.cumsum(length)))[offsets]
+    rest = [x[source] for x in rest]
+    begins = np.zeros(len(out) + 1, bool)
+    begins[offsets] = True
+    mark = t.mark_class[out]
+    # Marks of one run are put in the order of their classes; the order of equal ones stays.
+    run = np.cumsum((mark == 0) | begins[:-1])
+    loose = np.flatnonzero(mark > 0)
+    if len(loose):
+        by = np.lexsort((loose, mark[loose], run[loose]))
+        out[loose], rest = out[loose[by]], [_moved(x, loose, loose[by]) for x in rest]
+        mark = t.mark_class[out]
+    follows = t.follows[out] & ~begins[:-1]
+    head = np.flatnonzero(~follows)
+    size = np.diff(np.concatenate((head, [len(out)])))
+    head, size = head[size > 1], size[size > 1]
+    base, last = head.copy(), np.full(len(head), -1)  # where the base stands; class of the last mark left, -1 for none
+    keep = np.ones(len(out), bool)
+    k = 1
+    while len(head):
+        at = head + k
+        c = mark[at].astype(np.int64)
+        keys = out[base].astype(np.uint64) << np.uint64(32) | out[at].astype(np.uint64)
         where = np.minimum(np.searchsorted(t.pair_keys, keys), len(t.pair_keys) - 1)
-        hit = np.flatnonzero(same & t.is_mark[b] & (t.pair_keys[where] == keys))
-        if not len(hit):
-            break
-        points, offsets = merge(points, offsets, hit, t.pair_to[where[hit]])
-    return points, offsets
+        joins = (t.pair_keys[where] == keys) & ((last < c) | (last == -1)) & (mark[base] == 0)
+        out[base[joins]] = t.pair_to[where[joins]]
+        keep[at[joins]] = False
+        new = ~joins & (c == 0)
+        base[new], last[new] = at[new], -1
+        left = ~joins & (c > 0)
+        last[left] = c[left]
+        k += 1
+        on = size > k
+        head, size, base, last = head[on], size[on], base[on], last[on]
+    return out[keep], _shifted(offsets, keep), [x[keep] for x in rest]
+
+
+def _moved(x: np.ndarray, to: np.ndarray, from_: np.ndarray) -> np.ndarray:
+    x = x.copy()
+    x[to] = x[from_]
+    return x
+
+
+def foreign_words(points: np.ndarray, offsets: np.ndarray, t: Tables) -> np.ndarray:
+    """Whether each letter is one that looks Latin but stands in a word of its own script.
+
+    A word is a run of letters and digits. Its letters of a script are taken as they are if
+    one of them looks like no Latin letter and the word holds no Latin letter or digit.
+    """
+    like = t.look[points] & (t.script[points] > 1)
+    out = np.zeros(len(points), bool)
+    if not like.any():
+        return out
+    letter = t.letter[points]
+    begins = np.zeros(len(points) + 1, bool)
+    begins[offsets] = True
+    first = letter & (np.concatenate(([True], ~letter[:-1])) | begins[:-1])
+    word = np.cumsum(first) * letter
+    n, script = int(word.max()) + 1, t.script[points]
+    latin = np.bincount(word[script == 1], minlength=n)[:n] > 0
+    for k in range(2, 2 + len(SCRIPTS)):
+        own = np.bincount(word[(script == k) & ~like], minlength=n)[:n] > 0
+        own[0] = False
+        out |= like & (script == k) & (own & ~latin)[word]
+    return out
 
 
 def stand_ins(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,20 +372,24 @@ def normalize_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     t, valid = tables(), np.asarray(texts.is_valid())
     points, offsets = code_points(texts)
     points, offsets = resolve_references(points, offsets)
-    odd = np.concatenate(([0], np.cumsum(t.odd[points])))
+    own = foreign_words(points, offsets, t)
+    odd = np.concatenate(([0], np.cumsum(t.odd[points] & ~own)))
     found = odd[offsets[1:]] > odd[offsets[:-1]]
-    length = t.length[points]
+    if (t.follows[points] | ((points >= L) & (points < L + 256))).any():  # before letters are replaced, which a mark may tell apart
+        points, offsets = compose(points, offsets, t)
+        own = foreign_words(points, offsets, t)
+    length = np.where(own, 1, t.length[points])
     if (length != 1).any():
         ends = np.cumsum(length, dtype=np.int64)
         source = np.repeat(np.arange(len(points)), length)
         within = np.arange(len(source)) - (ends - length)[source]
         long = length[source] > 1
-        out = t.to[points[source]]
+        out = np.where(own[source], points[source], t.to[points[source]])
         out[long] = t.extra[t.extra_at[points[source[long]]] + within[long]]
         points, offsets = out, np.concatenate(([0], ends))[offsets]
     else:
-        points = t.to[points]
-    points, offsets = _compose(points, offsets, t)
+        points = np.where(own, points, t.to[points])
+    points, offsets = compose(points, offsets, t)
     at, to = stand_ins(points, offsets)
     if len(at):
         points = points.copy()
@@ -283,8 +402,9 @@ def normalize_text(df: DataFrame, text: str, keep: list[str], out: str = "plain"
     """``keep`` columns, the text in one consistent form, and whether anything but plain forms was in it.
 
     Invisible characters go, blanks of any kind become a space, full-width,
-    compatibility and look-alike characters become what they look like, conjoining
-    Hangul and combining accents are composed, numeric XML references are resolved.
+    compatibility and look-alike characters become what they look like (letters of other
+    scripts not in words of their own), conjoining Hangul and combining accents of any
+    script are composed, numeric XML references are resolved.
     Signs with a look of their own (brackets, unit signs, circled numbers) stay. A
     null stays null and is not flagged; an empty text stays empty. Narrow; no shuffle.
     """

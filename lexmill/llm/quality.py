@@ -25,22 +25,22 @@ FORMS = ("prose", "list", "table", "junk")
 STATISTICS = (
     "words", "mean_word", "symbols", "digits", "hangul", "latin", "foreign", "rare", "lines", "ended_lines", "mean_line", "common",
     "tabs", "bars", "commas", "semicolons", "colons", "gaps", "bullets", "even_lines", "field_lines", "distinct_words", "distinct_lines",
-    "sentences", "endings", "furniture", "codes", "numbers", "listed", "slashes", "long_words", "broken",
+    "sentences", "endings", "codes", "numbers", "listed", "slashes", "long_words", "broken",
 )
 #: Rows of the training sample at most, and labelled rows used for calibration at most.
 MAX_TRAIN, MAX_LABELLED = 20_000, 20_000
 
-# Syllables that Korean predicates and particles end in, words of page furniture, marks that open a list entry.
+# Syllables that Korean predicates and particles end in, marks that open a list entry.
 ENDINGS = "을를은는고며여다까임함음나요록면서"
 FINALS = "다까요임음함"
-FURNITURE = "로그인 로그아웃 회원가입 검색 목록 메뉴 열기 닫기 이전글 다음글 공유하기 인쇄 TOP 바로가기 본문 누리집 지도 개인정보 처리방침 글자크기 전체보기 더보기 클릭 홈 사이트맵 저작권 login logout home menu search next previous share print close sitemap copyright skip cookie"
 BULLETS = "-*•▷○●■□▪◆◇※·▶►–—+◦‣"
 BARS = "|│┃║"
 DRAWN = (0x2500, 0x2580)
 INSIDE = "·-./,:()「」『』%~&@_+'’" + '"'  # signs that stand inside a word in sound text
 
 LETTERS = 600_000  # taken at once, which bounds the arrays held
-LONG = 300  # words or lines from which on a text need not bring new ones
+MENU = 0.7  # share of new lines below which short lines are page furniture
+WINDOW = 300  # words or lines within which a repetition counts, so that a long text is measured like a short one
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -123,14 +123,15 @@ def _spans(mask: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def _distinct(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Different values of each owner."""
+def _novelty(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Share of values that are new to each owner: 1 for a first one, for a repetition its distance from the last, as a part of WINDOW."""
     if not len(owner):
         return np.zeros(n)
-    order = np.lexsort((value, owner))
-    o, v = owner[order], value[order]
-    new = np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1])))
-    return np.bincount(o[new], minlength=n).astype(float)
+    order = np.lexsort((np.arange(len(owner)), value, owner))
+    again = (owner[order[1:]] == owner[order[:-1]]) & (value[order[1:]] == value[order[:-1]])
+    new = np.ones(len(owner))
+    new[order[1:][again]] = np.minimum(WINDOW, np.diff(order)[again]) / WINDOW
+    return np.bincount(owner, new, minlength=n) / np.maximum(1, np.bincount(owner, minlength=n))
 
 
 def statistics(texts: pa.Array, common: np.ndarray) -> np.ndarray:
@@ -171,8 +172,7 @@ def statistics(texts: pa.Array, common: np.ndarray) -> np.ndarray:
     hashes = hasher.of(a, end)
     out["words"], out["mean_word"] = words, per(word_sum((b - a).astype(float)), words)
     out["common"] = per(word_sum(_member(hashes, common).astype(float)), words)
-    out["furniture"] = per(word_sum(_member(hashes, _furniture()).astype(float)), words)
-    out["distinct_words"] = np.minimum(1.0, per(_distinct(owner, hashes, n), np.minimum(words, LONG)))
+    out["distinct_words"] = _novelty(owner, hashes, n)
     last = points[np.maximum(end - 1, 0)] if len(a) else points[:0]
     out["endings"] = per(word_sum((c["ending"][last] & (end - a >= 2)).astype(float)), words)
     running = np.concatenate(([0], np.cumsum(kinds["digit"]))), np.concatenate(([0], np.cumsum(kinds["latin"])))
@@ -201,7 +201,7 @@ def statistics(texts: pa.Array, common: np.ndarray) -> np.ndarray:
     length = (final - first + 1).astype(float)
     out["lines"], out["mean_line"] = lines, per(line_sum(length), lines)
     out["ended_lines"] = per(line_sum(c["stop"][points[final]].astype(float)), lines)
-    out["distinct_lines"] = np.minimum(1.0, per(_distinct(line_owner, hasher.of(first, final + 1), n), np.minimum(lines, LONG)))
+    out["distinct_lines"] = _novelty(line_owner, hasher.of(first, final + 1), n)
     tab, bar, comma, semicolon = points == 9, c["bar"][points], (points == 44) | (points == 0x3001), points == 59
     gap_a, gap_b = _spans(points == 32, cut)
     gap = np.zeros(len(points), bool)
@@ -272,11 +272,6 @@ def statistics(texts: pa.Array, common: np.ndarray) -> np.ndarray:
     return np.column_stack([out[k] for k in STATISTICS]) if n else np.zeros((0, len(STATISTICS)))
 
 
-@cache
-def _furniture() -> np.ndarray:
-    return word_hashes([w.lower() for w in FURNITURE.split()])
-
-
 def weak_forms(x: np.ndarray) -> np.ndarray:
     """Form by structural rules that are sure of their case, as an index into FORMS; -1 if none is."""
     s = {k: x[:, i] for i, k in enumerate(STATISTICS)}
@@ -288,9 +283,11 @@ def weak_forms(x: np.ndarray) -> np.ndarray:
     out[listed & (s["even_lines"] < 0.3) & (s["field_lines"] < 0.3)] = 1
     out[loose & (s["even_lines"] >= 0.5) & (s["lines"] >= 3)] = 2
     out[loose & (s["field_lines"] >= 0.5) & (s["lines"] >= 3)] = 2
-    noise = (s["foreign"] > 0.3) | (s["symbols"] > 0.6) | (s["rare"] > 0.1) | (s["furniture"] > 0.4) | ((s["codes"] > 0.25) & (s["endings"] < 0.1)) | (s["long_words"] > 0.5) | ((s["broken"] > 0.25) & (s["even_lines"] < 0.3))
+    noise = (s["foreign"] > 0.3) | (s["symbols"] > 0.6) | (s["rare"] > 0.1) | ((s["codes"] > 0.25) & (s["endings"] < 0.1)) | (s["long_words"] > 0.5) | ((s["broken"] > 0.25) & (s["even_lines"] < 0.3))
     over = (s["distinct_words"] < 0.15) & (s["words"] >= 12) & (s["numbers"] < 0.2) & (s["even_lines"] < 0.3) & (s["field_lines"] < 0.3)
-    out[noise | over] = 3
+    # Entries of a list are named once; the same few short lines again and again are page furniture.
+    menu = loose & (s["listed"] >= 0.6) & (s["bullets"] < 0.3) & (s["endings"] < 0.15) & (s["lines"] >= 8) & (s["distinct_lines"] < MENU) & (s["even_lines"] < 0.3) & (s["field_lines"] < 0.3)
+    out[noise | over | menu] = 3
     out[s["words"] == 0] = -1
     return out
 
@@ -405,17 +402,19 @@ def document_statistics(documents: DataFrame, words: DataFrame, doc_id: str = "d
 
 
 def fit_forms(documents: DataFrame, labels: DataFrame, words: DataFrame, max_train: int = MAX_TRAIN, max_labelled: int = MAX_LABELLED) -> Boosted:
-    """Trees trained on a bounded hash sample with weak labels, calibrated on hand labels.
+    """Trees trained on a bounded hash sample with weak labels, calibrated on hand labels held out from it.
 
     At most about ``max_train`` documents are sampled by hash of doc_id, and at most
-    ``max_labelled`` labelled ones; both come to the driver as rows of statistics. A
-    document labelled in several ways counts once for each.
+    ``max_labelled`` labelled ones; both come to the driver as rows of statistics. No
+    labelled document is in the sample. A document labelled in several ways counts once
+    for each.
     """
     total = documents.count()
     every = max(1, -(-total // max_train))
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else documents
     known = labels.where(F.col("form").isin(*FORMS)).select("doc_id", "form").distinct()
     known = known.orderBy(F.xxhash64("doc_id"), "form").limit(max_labelled)
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else documents
+    sample = sample.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_anti")  # max_labelled ids at most
     stats = document_statistics(sample, words)
     got = stats.limit(2 * max_train).toPandas()
     x = got[list(STATISTICS)].to_numpy(float)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.leak import find_leaks
+from lexmill.llm.leak import find_leaks, leak_spans
 from lexmill.llm.mix import mix
 from lexmill.llm.normalize import normalize_text
 from lexmill.llm.quality import document_forms, document_statistics
 from lexmill.sources.tables import table
 
 
+#: Rank file of the tokenizer that sizes are measured with.
+TOKENIZER = os.environ.get("LEXMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
 def _normalized(spark: SparkSession, sf_dir: str, name: str, rec_id: str, text: str, *more: str) -> DataFrame:
     """Plain forms; text_key keeps the rows of one rec_id apart (by their text and ``more``)."""
     rows = table(spark, sf_dir, name).where(F.col(text).isNotNull()).select(F.col(rec_id).cast("string").alias("rec_id"), F.xxhash64(text, *more).alias("text_key"), F.col(text).alias("text"))
@@ -36,14 +42,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of documents to remove, with the item they reproduce and how much of it."""
+    return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), path=TOKENIZER)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of tokens each listed source reaches."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), path=TOKENIZER)[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +68,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLE_SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmill.llm import mix as M
+from lexmill.llm.queries import TOKENIZER as PATH
 
 
 @settings(max_examples=80, deadline=None)
@@ -35,7 +36,7 @@ def test_mix(spark, got, monkeypatch):
     docs += [(2000, None, "small"), (2001, "", "small"), (2002, "x", None), (2003, "x", "unlisted"), (1000, "text " * 40, "small")]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
     t = spark.createDataFrame([("big_source", 0.7, 1), ("small", 0.25, 3), ("none", 0.05, 2)], "source string, target_share double, max_repeats int")
-    chosen, shares = M.mix(d, t, block=20)
+    chosen, shares = M.mix(d, t, path=PATH, block=20)
     s = {r["source"]: r for r in shares.collect()}
     for name in ("big_source", "small"):
         assert abs(s[name]["mixed_tokens"] - s[name]["planned_tokens"]) <= 2 * 41
@@ -45,7 +46,10 @@ def test_mix(spark, got, monkeypatch):
     rows = chosen.collect()
     assert sum(r["tokens"] * r["copies"] for r in rows) == sum(r["mixed_tokens"] for r in s.values())
     assert not {2000, 2001, 2002, 2003} & {r["doc_id"] for r in rows}
-    again, _ = M.mix(d, t, block=20)
+    again, _ = M.mix(d, t, path=PATH, block=20)
     assert sorted(map(tuple, again.select("doc_id", "copies").collect())) == sorted(map(tuple, chosen.select("doc_id", "copies").collect()))
-    nothing, _ = M.mix(d.limit(0), t)
+    for n in (1, 7):  # several blocks of a source, whatever the layout
+        other, _ = M.mix(d.repartition(n), t, path=PATH, block=20)
+        assert sorted(map(tuple, other.select("doc_id", "copies").collect())) == sorted(map(tuple, chosen.select("doc_id", "copies").collect()))
+    nothing, _ = M.mix(d.limit(0), t, path=PATH)
     assert nothing.count() == 0

@@ -74,3 +74,30 @@ def test_open_cdata_ends_with_its_row():
     plain, found = normalize_batch(pa.array(["<![CDATA[&#x3000;", "a&#x3000;b", None, "x<![CDATA[y", "&#x3000;", "<![CDA", "TA[&#x3000;"]))
     assert plain.to_pylist() == ["<![CDATA[&#x3000;", "a b", None, "x<![CDATA[y", " ", "<![CDA", "TA[ "]
     assert found.tolist() == [False, True, False, False, True, False, True]
+
+
+def test_composed_and_decomposed_text_is_one_text_in_every_script():
+    chars = [chr(c) for c in range(0xA0, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != unicodedata.normalize("NFD", chr(c))]
+    as_is, composed, apart = (normalize_batch(pa.array([f(c) for c in chars]))[0].to_pylist() for f in (str, lambda c: unicodedata.normalize("NFC", c), lambda c: unicodedata.normalize("NFD", c)))
+    assert as_is == composed == apart
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9))
+def test_any_number_of_marks_in_any_order(seed):
+    r = random.Random(seed)
+    marks = [chr(c) for c in (*range(0x300, 0x34F), *range(0x350, 0x370), 0x5B0, 0x64B, 0x654, 0x3099, 0x93C, 0x9BE)]
+    texts = ["".join(r.choice("abeouéâबকか") + "".join(r.choices(marks, k=r.randint(0, 7))) for _ in range(r.randint(1, 4))) for _ in range(50)]
+    assert normalize_batch(pa.array(texts))[0].to_pylist() == [unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_look_alikes_in_words_of_their_own_stay():
+    texts = ["Москва", "Москва시", "АB12", "제А호", "ЖабА", "СССР", "Αθήνα"]
+    plain, found = normalize_batch(pa.array(texts))
+    assert plain.to_pylist() == ["Москва", "Москва시", "AB12", "제A호", "ЖабА", "CCCP", "Αθήνα"]
+    assert found.tolist() == [False, False, True, True, False, True, False]
+
+
+def test_references_of_any_length():
+    plain, found = normalize_batch(pa.array(["&#x0000AC00;&#000000000000044032;", "&#65;&#xFF21;&#x1100;&#x1161;", "&#;&#x;&#", "&#xAC00 &#99999999;"]))
+    assert plain.to_pylist() == ["가가", "AA가", "&#;&#x;&#", "&#xAC00 &#99999999;"] and found.tolist() == [False, True, False, False]

@@ -13,6 +13,14 @@ COMMON = ["the", "및", "또는"]
 PIECES = ["the", "The,", "및", "또는.", "가나다", "x1", "12,3", "-", "\n", "\n\n", "다.", "끝났다.", "…", "  ", "\t", "법은"]
 
 
+def novelty(values):
+    last, new = {}, []
+    for k, v in enumerate(values):
+        new.append(min(Q.WINDOW, k - last[v]) / Q.WINDOW if v in last else 1)
+        last[v] = k
+    return sum(new) / max(1, len(new))
+
+
 def brute(t):
     words = t.split()
     shown = "".join(t.split())
@@ -23,7 +31,7 @@ def brute(t):
     return {
         "words": len(words), "mean_word": sum(map(len, words)) / n, "lines": len(lines), "ended_lines": sum(x[-1] in ".?!。" for x in lines) / max(1, len(lines)),
         "common": sum(w.lower() in COMMON for w in bare) / n, "symbols": (len(shown) - letters - sum(c.isdigit() for c in shown)) / max(1, len(shown)), "digits": sum(c.isdigit() for c in shown) / max(1, len(shown)),
-        "distinct_words": len({w.lower() for w in bare}) / n, "distinct_lines": len({x.lower() for x in lines}) / max(1, len(lines)),
+        "distinct_words": novelty([w.lower() for w in bare]), "distinct_lines": novelty([x.lower() for x in lines]),
     }
 
 
@@ -73,13 +81,22 @@ def test_weak_labels_and_trees():
     assert -np.log(model.probabilities(x[:120])[np.arange(120), wrong] + 1e-12).mean() <= before + 1e-9
 
 
+def long_prose():
+    """Sentences of one pattern whose words change, as long as a book chapter."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("가나다라마바사아자차카타파하고노도로모보소오조초") for _ in range(3))
+    return " ".join(f"{word()}은 {word()}를 {word()}에 {word()}하여 {word()}을 지체 없이 {word()}하여야 한다." for _ in range(1500))
+
+
 def test_frames(spark, got):
     rows = sample()
-    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (902, "".join(PROSE.replace("결과", f"{w}{v} 결과") for w in "가나다라마바사아자차" for v in "거너더러머버서어저처커터퍼허" for _ in range(20)), "x"), (903, PROSE * 3000, "x")], "doc_id long, text string, form string")
+    again = "".join(PROSE.replace("결과", f"{w}{v} 결과") for w in "가나다라마바사아자차" for v in "거너더러머버서어저처커터퍼허" for _ in range(20))
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (902, long_prose(), "x"), (904, again, "x"), (905, PROSE * 20, "x"), (903, PROSE * 3000, "x")], "doc_id long, text string, form string")
     labels = spark.createDataFrame([(i, f, "a") for i, _, f in rows[:80]] + [(0, "junk", "b"), (5, None, "c")], "doc_id long, form string, annotator string")
     words = spark.createDataFrame([("ko", "한다"), (None, None)], "lang string, word string")
     out = {r[0]: r[1] for r in got(Q.document_forms(docs, labels, words))}
-    assert len(out) == 244 and out[902] == "prose" and out[903] == "junk" and out[900] == "prose"
+    assert len(out) == 246 and out[902] == "prose" and out[900] == "prose"
+    assert out[903] == out[904] == out[905] == "junk"  # the same sentences over and over, at any length
     assert np.mean([out[i] == f for i, _, f in rows]) > 0.95
     assert got(Q.document_statistics(docs.limit(0), words)) == []
     assert got(Q.document_forms(docs.limit(0), labels, words)) == []
