@@ -166,9 +166,9 @@ def comparison_changed(old: Column, new: Column) -> Column:
 
 
 def came_from(articles: DataFrame) -> DataFrame:
-    """(law_id, label, moved_to, enforce_date): the first article that says it moved from a label."""
-    came = articles.where("moved_from != ''").groupBy("law_id", F.col("moved_from").alias("label")).agg(F.min(F.struct("pos", F.col("label").alias("to"), "enforce_date")).alias("m"))
-    return came.select("law_id", "label", F.col("m.to").alias("moved_to"), F.col("m.enforce_date").alias("enforce_date"))
+    """(law_id, label, moved_to, enforce_date, content): the first article that says it moved from a label."""
+    came = articles.where("moved_from != ''").groupBy("law_id", F.col("moved_from").alias("label")).agg(F.min(F.struct("pos", F.col("label").alias("to"), "enforce_date", "content")).alias("m"))
+    return came.select("law_id", "label", F.col("m.to").alias("moved_to"), F.col("m.enforce_date").alias("enforce_date"), F.col("m.content").alias("content"))
 
 
 def moved_to(cited: DataFrame, articles: DataFrame) -> DataFrame:
@@ -184,5 +184,3 @@ def renumbered(missing: DataFrame, articles: DataFrame, by: tuple[str, ...] = ("
     now = keyed(articles).select("law_id", "digest", F.col("plain").alias("text"), "pos", F.col("label").alias("to"))
     m = keyed(missing).join(now, ["law_id", "digest"]).where("plain = text")
     return m.groupBy(*by).agg(F.min(F.struct("pos", "to")).alias("m")).select(*by, F.col("m.to").alias("moved_to"))
-
-

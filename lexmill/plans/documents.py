@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.dates import norm_date
-from lexmill.functions.text import is_local_rule, label_numbers, loose_name_key, name_key, unit_label
+from lexmill.functions.text import name_key, unit_label
 from lexmill.operators import articles as A
 from lexmill.operators import citations as C
 from lexmill.operators import diff as D
-from lexmill.operators.asof import asof_join
-from lexmill.operators.judge import check_clause, diff_clause, judge_rule
+from lexmill.plans import pipeline as P
 from lexmill.plans.registry import Registry
 from lexmill.plans.scalars import PREFIXES
-from lexmill.plans.views import name_index, rule_index
-from lexmill.session import spread, write_shared
-from lexmill.sources.tables import latest, table
+from lexmill.session import spread
+from lexmill.sources.source import TableSource
+from lexmill.sources.tables import table
 
 R = Registry()
 
 
 def _ordinances(spark: SparkSession, sf: str) -> DataFrame:
-    return latest(table(spark, sf, "ordinances").where("mst IS NOT NULL"), ["mst"], "fetched_at", ["body_xml", "enforce_date"])
+    return P.delivered(TableSource(spark, sf))
 
 
 @R.query()
@@ -134,99 +132,19 @@ def moved_from_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return A.moved_to(_cited(spark, sf), law_articles(spark, sf))
 
 
-def _then(spark: SparkSession, sf: str) -> DataFrame:
-    v = latest(table(spark, sf, "law_versions").where("law_id IS NOT NULL AND version_mst IS NOT NULL"), ["law_id", "version_mst"], "fetched_at", ["enforce_date", "body_xml"])
-    return v.withColumn("start", norm_date(F.col("enforce_date")))
-
-
 @R.query()
 def renumber_by_content(spark: SparkSession, sf: str) -> DataFrame:
     """Articles of any former version whose label is gone, found again by their text."""
-    former = A.parsed_articles(_then(spark, sf).withColumn("key", F.concat_ws("/", "law_id", "version_mst")), "key", rows=A.rule_rows)
+    former = A.parsed_articles(P.versions_of(TableSource(spark, sf)).withColumn("key", F.concat_ws("/", "law_id", "version_mst")), "key", rows=A.rule_rows)
     former = former.select(F.substring_index("key", "/", 1).alias("law_id"), "label", "content").distinct()
     now = law_articles(spark, sf)
     return A.renumbered(former.join(now.select("law_id", "label"), ["law_id", "label"], "left_anti"), now)
 
 
-def _resolved(spark: SparkSession, sf: str, units: DataFrame) -> DataFrame:
-    """Cited units with law_id ('' if unresolved), own_day and the law's present name if it has another.
-
-    Laws come before administrative rules; a name that is no law's and never stands in
-    brackets in its document is no citation.
-    """
-    laws = table(spark, sf, "laws")
-    by_name = name_index(spark, sf).select("name_key", F.col("law_id").alias("by_name"))
-    by_rule = name_index(spark, sf, rules=True).select("name_key", F.col("law_id").alias("by_rule"))
-    names = units.select("law_name").distinct().select("law_name", name_key(F.col("law_name")).alias("name_key"), loose_name_key(F.col("law_name")).alias("loose"))
-    loose = rule_index(spark, sf).select("loose", F.col("law_id").alias("by_loose"))
-    ids = names.join(by_name, "name_key", "left").join(by_rule, "name_key", "left").join(loose, "loose", "left").select("law_name", "by_name", F.coalesce("by_name", "by_rule", "by_loose", F.lit("")).alias("law_id"))
-    current = A.law_meta(laws.where("NOT startswith(law_id, 'ADM')")).where("name != ''").select("law_id", F.col("name").alias("current_name"))
-    ids = ids.join(current, "law_id", "left").select("law_name", "law_id", "by_name", F.when(loose_name_key(F.col("current_name")) != loose_name_key(F.col("law_name")), F.col("current_name")).alias("renamed_to"))
-    return units.join(ids, "law_name").where("by_name IS NOT NULL OR NOT naked_only").drop("by_name", "naked_only")
-
-
-def _units(spark: SparkSession, sf: str) -> DataFrame:
-    """Citations of laws read from the ordinances, resolved; written, because every step below starts from them and plans stay small."""
-    o = _ordinances(spark, sf)
-    refs = C.extract_citations(o, prefixes=PREFIXES).where("cite_type = '법령'")
-    units = write_shared(C.cited_units(refs), "units")
-    return write_shared(_resolved(spark, sf, units).join(o.select("mst", norm_date(F.col("enforce_date")).alias("own_day")), "mst"), "resolved")
-
-
-def _compared(spark: SparkSession, sf: str, units: DataFrame, articles: DataFrame) -> DataFrame:
-    """Cited clauses with the article's text now and at the ordinance's day, and where a missing one went.
-
-    As-of versions are picked on (law, day) before any body is parsed, and only picked
-    bodies are; occurrences meet articles by (law, label), which spreads a hot law.
-    """
-    known = units.where("law_id != '' AND renamed_to IS NULL AND label IS NOT NULL")
-    now = articles.select("law_id", "label", F.col("content").alias("now"), F.col("enforce_date").alias("article_day"))
-    versions = _then(spark, sf)
-    days = known.select("law_id", "own_day").where("own_day IS NOT NULL").distinct()
-    picked = write_shared(asof_join(days, versions.select("law_id", "version_mst", "start"), "law_id", "own_day", "start", "version_mst"), "picked")
-    used = versions.join(picked.select("law_id", "version_mst").distinct(), ["law_id", "version_mst"], "left_semi").withColumn("key", F.concat_ws("/", "law_id", "version_mst"))
-    then = A.parsed_articles(used, "key", rows=A.rule_rows).select(F.substring_index("key", "/", 1).alias("law_id"), F.substring_index("key", "/", -1).alias("version_mst"), "label", "content")
-    then = write_shared(then, "then")
-    gone = then.join(articles.select("law_id", "label"), ["law_id", "label"], "left_anti")
-    same_text = A.renumbered(gone, articles, by=("law_id", "version_mst", "label")).withColumnRenamed("moved_to", "same_text")
-    said = A.came_from(articles).select("law_id", "label", "moved_to")
-    j = known.join(picked, ["law_id", "own_day"], "left").join(now, ["law_id", "label"], "left").join(then.withColumnRenamed("content", "then"), ["law_id", "version_mst", "label"], "left")
-    return j.join(same_text, ["law_id", "version_mst", "label"], "left").join(said, ["law_id", "label"], "left")
-
-
-_FOUND = ("mst", "law_id", "law_name", "article_no", "label", "hang", "ho", "mok", "ord_seq", "version_mst", "severity", "change_type")
-
-
-def judged(spark: SparkSession, sf: str, units: DataFrame, articles: DataFrame) -> DataFrame:
-    """Cited units to verdicts: clauses by their texts, renamed laws once per citing article, unresolved ones once per ordinance."""
-    none, unit = F.lit(None).cast("string"), (F.col("hang"), F.col("ho"), F.col("mok"))
-    pairs = A.comparisons(table(spark, sf, "laws").where("startswith(law_id, 'ADMONV:')"), "law_id", "body_xml")
-    pairs = pairs.select(F.replace("law_id", F.lit("ADMONV:"), F.lit("ADM:")).alias("law_id"), "label", "old", "new", "day")
-    j = _compared(spark, sf, units, articles).join(pairs, ["law_id", "label"], "left")
-    article = F.when(F.col("now").isNotNull(), F.struct(F.col("now").alias("content"), F.col("article_day").alias("enforce_date")))
-    alone = check_clause(article, F.col("moved_to"), F.col("own_day"), *unit)
-    newer = judge_rule(F.col("old"), F.col("new"), F.col("day"), F.col("own_day"), F.lit(None).cast("struct<severity:string,change_type:string>"))
-    changed = F.struct(F.lit("review").alias("severity"), F.lit("내용변경").alias("change_type"))
-    verdict = F.when(F.col("version_mst").isNotNull(), diff_clause(F.col("now"), F.col("then"), F.col("same_text"), F.col("own_day"), *unit)).when(newer.isNotNull(), changed).otherwise(alone)
-    clauses = j.withColumn("v", verdict).select(*_FOUND[:-2], "v.severity", "v.change_type")
-
-    def whole(rows: DataFrame, law_id: Column, article_no: Column, severity: str, change: Column) -> DataFrame:
-        return rows.select("mst", law_id.alias("law_id"), "law_name", article_no.alias("article_no"), F.lit("").alias("label"), F.lit(None).cast("int").alias("hang"), none.alias("ho"), none.alias("mok"), F.col("law_seq").alias("ord_seq"), none.alias("version_mst"), F.lit(severity).alias("severity"), change.alias("change_type"))
-
-    laws = units.select("mst", "law_name", "law_id", "renamed_to", "law_seq", "cited_in").distinct()
-    renamed = laws.where("renamed_to IS NOT NULL").withColumn("at", F.explode(F.when(F.size("cited_in") > 0, F.col("cited_in")).otherwise(F.array(F.lit("")))))
-    at = F.array_join(F.transform(F.array_sort(F.transform("cited_in", lambda a: F.struct(label_numbers(a).alias("n"), a.alias("a")))), lambda s: s["a"]), ", ")
-    local = F.coalesce(is_local_rule(F.col("law_name"), PREFIXES), F.lit(False))
-    return (
-        clauses.unionByName(whole(renamed, F.col("law_id"), F.col("at"), "review", F.lit("제명변경")))
-        .unionByName(whole(laws.where("law_id = ''"), F.lit(""), at, "check", F.when(local, "지자체행정규칙").otherwise("법령미해결")))
-    )
-
-
 @R.query()
 def findings_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """Ordinance texts to judged citations: extract, resolve, pick the version of the day, compare."""
-    return judged(spark, sf, _units(spark, sf), write_shared(law_articles(spark, sf), "articles"))
+    return P.findings_of(TableSource(spark, sf), PREFIXES)
 
 
 @R.query("""SELECT id, replace(replace(replace(replace(replace(substr(x, 1, a), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '<mark class="cite">' || replace(replace(replace(replace(replace(substr(x, a + 1, b - a), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</mark>'
@@ -243,7 +161,8 @@ def highlight_spans(spark: SparkSession, sf: str) -> DataFrame:
 @R.query()
 def token_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of cited articles then and now as one marked flow, each pair of texts once."""
-    j = _compared(spark, sf, _units(spark, sf), write_shared(law_articles(spark, sf), "articles")).where("then IS NOT NULL AND now IS NOT NULL")
+    source = TableSource(spark, sf)
+    j = P.compared(source, P.cited(source, PREFIXES), P.articles_of(source)).where("then IS NOT NULL AND now IS NOT NULL")
     pairs = j.groupBy("law_id", "version_mst", "label").agg(F.first("then").alias("then"), F.first("now").alias("now"))
     return spread(pairs, "law_id", "version_mst", "label").select("law_id", "version_mst", "label", D.unified_html(D.token_diff("then", "now")).alias("html"))
 

@@ -10,6 +10,7 @@ from lexmill.functions.dates import norm_version_key
 from lexmill.operators import store
 from lexmill.plans.registry import Registry
 from lexmill.plans.scalars import _GRADE, _KIND, PREFIXES, graded
+from lexmill.sources.source import RULE, TableSource
 from lexmill.sources.tables import table
 
 R = Registry()
@@ -83,16 +84,17 @@ def dept_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- name resolution
-def name_index(spark: SparkSession, sf: str, rules: bool = False) -> DataFrame:
-    """(name_key, law_id) of laws, or of administrative rules: citations before findings before laws, the smallest place within a source."""
-    parts = []
-    for prio, (src, name, place) in enumerate((("citations", "law_name", "id"), ("findings", "law_name", "id"), ("laws", "name", "law_id"))):
-        t = table(spark, sf, src).where(F.col(name).isNotNull() & (F.col("law_id") != "") & (F.startswith("law_id", F.lit("ADM:")) == F.lit(rules)))
-        parts.append(t.select(X.name_key(F.col(name)).alias("name_key"), "law_id", F.lit(prio).alias("prio"), F.lpad(F.col(place).cast("string"), 20, "0").alias("place")))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+def index_names(names: DataFrame, rules: bool = False) -> DataFrame:
+    """(name_key, law_id, prio) of laws, or of administrative rules, from a source's names: the smallest (prio, place) of a name."""
+    every = names.where(F.startswith("law_id", F.lit(RULE)) == F.lit(rules)).select(X.name_key(F.col("name")).alias("name_key"), "law_id", "prio", "place")
     return every.groupBy("name_key").agg(F.min(F.struct("prio", "place", "law_id")).alias("m")).select("name_key", "m.law_id", "m.prio")
 
 
+def name_index(spark: SparkSession, sf: str, rules: bool = False) -> DataFrame:
+    """The same of the stored tables: citations before findings before laws, the smallest place within each."""
+    return index_names(TableSource(spark, sf).names(), rules)
+
+
 _INDEX = """(SELECT name_key, law_id, prio FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY prio, place, law_id) AS k FROM (
  SELECT replace(law_name,' ','') AS name_key, law_id, 0 AS prio, lpad(id::VARCHAR, 20, '0') AS place FROM citations WHERE law_name IS NOT NULL AND law_id <> '' AND law_id NOT LIKE 'ADM:%'
  UNION ALL SELECT replace(law_name,' ',''), law_id, 1, lpad(id::VARCHAR, 20, '0') FROM findings WHERE law_name IS NOT NULL AND law_id <> '' AND law_id NOT LIKE 'ADM:%'
@@ -107,8 +109,13 @@ def name_index_priority(spark: SparkSession, sf: str) -> DataFrame:
 _ADM = """(SELECT regexp_replace(name, '[ \\t\\n\\r·ㆍ・]', '', 'g') AS loose, min(law_id) AS law_id FROM laws WHERE law_id LIKE 'ADM:%' AND name IS NOT NULL GROUP BY 1)"""
 
 
+def index_rules(laws: DataFrame) -> DataFrame:
+    """(loose, law_id) of administrative rules by their name without blanks and middle dots."""
+    return laws.where(F.startswith("law_id", F.lit(RULE)) & F.col("name").isNotNull()).groupBy(X.loose_name_key(F.col("name")).alias("loose")).agg(F.min("law_id").alias("law_id"))
+
+
 def rule_index(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "laws").where("law_id LIKE 'ADM:%' AND name IS NOT NULL").groupBy(X.loose_name_key(F.col("name")).alias("loose")).agg(F.min("law_id").alias("law_id"))
+    return index_rules(table(spark, sf, "laws"))
 
 
 @R.query(f"SELECT n.law_name, a.law_id FROM (SELECT DISTINCT law_name, regexp_replace(law_name, '[ \\t\\n\\r·ㆍ・]', '', 'g') AS loose FROM citations WHERE law_name IS NOT NULL) n JOIN {_ADM} a USING (loose)")
