@@ -51,3 +51,24 @@ DETAIL = {
     "local_rule": "지자체 자체 행정규칙 — 국가법령정보 API 미수록(자동 대조 불가), 원문 수기 확인 필요",
     "unresolved": "법령ID 미해결 (폐지/제명변경 의심)",
 }
+
+# What a finding asks to be done, by grade and kind of change.
+ACTION = {
+    "renamed": "「{law}」 법령명 불일치 — 인용 법령명 정정",
+    "naked_only": '(서식만 정비) "{bare}"{bare_particle} "{quoted}"{quoted_particle} 정정 — 내용 변경은 없음 ({place})',
+    "spacing_only": "(서식만 정비) 「{law}」 약칭을 앞말과 띄어 정정 ({place}) — 내용 변경은 없음, 띄어쓰기만 정비",
+    "mechanical": "「{law}」 {clause} 인용을 현행 조문번호로 정정 ({place}) — {detail}",
+    "내용변경": "「{law}」 {clause} 개정 내용을 반영하여 {place/을/를} 검토·정비",
+    "삭제": "「{law}」 {clause} 삭제·통합 여부를 확인하고 {place}의 인용을 정비",
+    "review": "「{law}」 {clause} 변경 사항을 검토하여 {place} 정비",
+    "지자체행정규칙": "「{law}」는 지자체 자체 행정규칙 — 국가법령정보에 없어 자동 대조 불가. 자치법규정보시스템(ELIS, www.elis.go.kr)에서 최신 원문을 직접 확인해 {place} 인용을 정비",
+    "법령미해결": "「{law}」 자동 매칭 실패 — 국가법령정보센터(법령·행정규칙)에서 현행 여부·명칭 확인. 중앙부처 행정규칙(훈령·예규·규정)이거나 제명변경·폐지일 수 있고, 지자체 자체 규칙이면 자치법규정보시스템(ELIS)에서 확인 — {place} 인용 정비",
+    "당시부재": "「{law}」 {clause} 인용 시점을 확인 — {place} (제정 당시 부재)",
+    "호미확인": "「{law}」 {clause}{unit} 변경 여부 확인 — {clause/은/는} 조례 시행 이후 개정됐으나 인용한 {which}엔 개정 표기가 없어 변경 여부 불명확({place})",
+    "check": "「{law}」 {clause} 소재를 확인(삭제·이동·오기 여부) — {place}",
+    "also_naked": " (덧붙여 「{law}」처럼 꺽쇠 서식으로 정정)",
+    "also_spacing": " (덧붙여 약칭 앞 띄어쓰기 정정)",
+    "nothing": "검토 완료 — 인용 조항이 조례 시행 이후 개정되지 않아 변경 없음.",
+}
+# The place a finding points at, a law without a name, an ordinance without a name or department.
+PLACE, ANY_PLACE, NO_LAW_NAME, NO_NAME, NO_DEPT = "이 조례 {article}", "이 조례의 해당 조문", "(법령명 미상)", "(조례명 미상)", "(미지정)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.functions.dates import norm_version_key
 from lexmill.operators import store
+from lexmill.operators.changes import affected_ordinances, stored_labels
 from lexmill.plans.registry import Registry
 from lexmill.plans.scalars import _GRADE, _KIND, PREFIXES, graded
 from lexmill.sources.source import RULE, TableSource
@@ -162,10 +163,10 @@ _MODE = """CASE WHEN changed_articles = '*' THEN 'full' WHEN coalesce(changed_ar
 def change_log(spark: SparkSession, sf: str) -> DataFrame:
     """(law_id, new_key): the first detection of each change, whatever the order of arrival."""
     rows = table(spark, sf, "law_changes").where("law_id IS NOT NULL AND new_key IS NOT NULL")
-    return store.first_seen(rows, ["law_id", "new_key"], "detected_at", ["old_key", "changed_articles"])
+    return store.first_seen(rows, ["law_id", "new_key"], "detected_at", ["old_key", "changed_articles", "name", "new_enforce", "revise_type"])
 
 
-_LOG = """(SELECT law_id, new_key, old_key, changed_articles, detected_at FROM (SELECT *, row_number() OVER (PARTITION BY law_id, new_key ORDER BY detected_at NULLS FIRST, old_key NULLS FIRST, changed_articles NULLS FIRST) AS k FROM law_changes WHERE law_id IS NOT NULL AND new_key IS NOT NULL) WHERE k = 1)"""
+_LOG = """(SELECT law_id, new_key, old_key, changed_articles, detected_at, name, new_enforce, revise_type FROM (SELECT *, row_number() OVER (PARTITION BY law_id, new_key ORDER BY detected_at NULLS FIRST, old_key NULLS FIRST, changed_articles NULLS FIRST, name NULLS FIRST, new_enforce NULLS FIRST, revise_type NULLS FIRST) AS k FROM law_changes WHERE law_id IS NOT NULL AND new_key IS NOT NULL) WHERE k = 1)"""
 
 
 @R.query(f"SELECT law_id, new_key, old_key, changed_articles, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected FROM {_LOG}")
@@ -175,11 +176,7 @@ def change_log_append(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(f"SELECT law_id, new_key, {_MODE} AS mode FROM {_LOG}")
 def change_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return change_log(spark, sf).select("law_id", "new_key", _mode().alias("mode"))
-
-
-def _mode() -> Column:
-    return F.when(F.col("changed_articles") == "*", "full").when(F.coalesce("changed_articles", F.lit("")) == "", "unknown").otherwise("partial")
+    return change_log(spark, sf).select("law_id", "new_key", stored_labels(F.col("changed_articles"))[0].alias("mode"))
 
 
 def _cited_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,29 +186,21 @@ def _cited_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def affected(spark: SparkSession, sf: str) -> DataFrame:
-    """(law_id, new_key, mst, state): ordinances a change affects, surely or perhaps. One join over all changes.
-
-    Ordinances are met by label, an equality on (law, label), so a law cited by a third of
-    all rows is spread over its labels; only whole-law changes and bare names meet by law.
-    """
-    log = change_log(spark, sf).select("law_id", "new_key", _mode().alias("mode"), F.split(F.regexp_replace(F.coalesce("changed_articles", F.lit("")), "，", ","), ",").alias("changed"))
-    cited = _cited_labels(spark, sf)
-    known = ordinances(spark, sf).select("mst")
-    by_label = log.where("mode = 'partial'").select("law_id", "new_key", F.explode("changed").alias("label")).select("law_id", "new_key", F.trim("label").alias("label")).where("label <> ''").distinct()
-    hit = cited.join(by_label, ["law_id", "label"]).select("law_id", "new_key", "mst", F.lit(2).alias("rank"))
-    bare = cited.where("label = ''").join(log.where("mode = 'partial'").select("law_id", "new_key"), "law_id").select("law_id", "new_key", "mst", F.lit(1).alias("rank"))
-    whole = cited.select("mst", "law_id").distinct().join(log.where("mode <> 'partial'").select("law_id", "new_key", "mode"), "law_id").select("law_id", "new_key", "mst", F.when(F.col("mode") == "full", 2).otherwise(1).alias("rank"))
-    best = hit.unionByName(bare).unionByName(whole).groupBy("law_id", "new_key", "mst").agg(F.max("rank").alias("rank"))
-    return best.join(known, "mst", "left_semi").select("law_id", "new_key", "mst", F.when(F.col("rank") == 2, "affected").otherwise("uncertain").alias("state"))
+    """(law_id, new_key, mst, state, labels): known ordinances the logged changes touch; findings stand in for official links."""
+    mode, labels = stored_labels(F.col("changed_articles"))
+    log = change_log(spark, sf).select("law_id", "new_key", mode.alias("mode"), labels.alias("labels"))
+    links = table(spark, sf, "findings").where("mst IS NOT NULL AND law_id <> ''").select("mst", "law_id")
+    return affected_ordinances(log, _cited_labels(spark, sf), links).join(ordinances(spark, sf).select("mst"), "mst", "left_semi")
 
 
 _AFFECTED = f"""(WITH log AS (SELECT law_id, new_key, {_MODE} AS mode, regexp_replace(coalesce(changed_articles,''), '，', ',', 'g') AS ca FROM {_LOG}),
  cited AS (SELECT DISTINCT mst, law_id, trim(unnest(string_split(coalesce(clause_label,''), ','))) AS label FROM citations WHERE mst IS NOT NULL AND law_id <> ''),
  ch AS (SELECT DISTINCT law_id, new_key, trim(unnest(string_split(ca, ','))) AS label FROM log WHERE mode = 'partial'),
- u AS (SELECT law_id, new_key, mst, 2 AS rank FROM cited JOIN ch USING (law_id, label) WHERE label <> ''
-  UNION ALL SELECT law_id, new_key, mst, 1 FROM cited JOIN log USING (law_id) WHERE mode = 'partial' AND label = ''
-  UNION ALL SELECT law_id, new_key, mst, CASE WHEN mode = 'full' THEN 2 ELSE 1 END FROM cited JOIN log USING (law_id) WHERE mode <> 'partial')
- SELECT law_id, new_key, mst, CASE WHEN max(rank) = 2 THEN 'affected' ELSE 'uncertain' END AS state FROM u WHERE mst IN (SELECT mst FROM ordinances) GROUP BY law_id, new_key, mst)"""
+ u AS (SELECT law_id, new_key, mst, 2 AS rank, label FROM cited JOIN ch USING (law_id, label) WHERE label <> ''
+  UNION ALL SELECT law_id, new_key, mst, 1, NULL FROM cited JOIN log USING (law_id) WHERE mode = 'partial' AND label = ''
+  UNION ALL SELECT law_id, new_key, mst, CASE WHEN mode = 'full' THEN 2 ELSE 1 END, CASE WHEN mode = 'full' THEN nullif(label, '') END FROM cited JOIN log USING (law_id) WHERE mode <> 'partial'
+  UNION ALL SELECT l.law_id, new_key, mst, 0, NULL FROM (SELECT DISTINCT mst, law_id FROM findings WHERE mst IS NOT NULL AND law_id <> '') l JOIN log USING (law_id) WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.mst = l.mst AND c.law_id = l.law_id))
+ SELECT law_id, new_key, mst, CASE max(rank) WHEN 2 THEN 'affected' WHEN 1 THEN 'uncertain' ELSE 'linked' END AS state, CASE WHEN max(rank) = 2 THEN coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') ELSE '' END AS labels FROM u WHERE mst IN (SELECT mst FROM ordinances) GROUP BY law_id, new_key, mst)"""
 
 
 @R.query(f"SELECT * FROM {_AFFECTED}")
@@ -274,8 +263,8 @@ def report_priority(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.query(f"SELECT mst, name, items FROM {_SCAN} ORDER BY items DESC, mst LIMIT 15")
-def top_ordinances(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(spark, sf).select("mst", "name", "items").orderBy(F.desc("items"), "mst").limit(15)
+def top_ordinances(spark: SparkSession, sf: str, n: int = 15) -> DataFrame:
+    return scan(spark, sf).select("mst", "name", "items").orderBy(F.desc("items"), "mst").limit(n)
 
 
 _Q = "온천"
@@ -293,19 +282,17 @@ def search_ordinances(spark: SparkSession, sf: str, q: str = _Q) -> DataFrame:
 
 
 @R.query(f"SELECT mst, name, items FROM {_SCAN} WHERE dept = '도로과' AND items > 0 ORDER BY items DESC, name, mst")
-def list_by_dept(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(spark, sf).where("dept = '도로과' AND items > 0").select("mst", "name", "items").orderBy(F.desc("items"), "name", "mst")
-
-
-@R.query(f"SELECT mst, nullif(trim(enforce_date), '') AS day FROM {_SCAN} ORDER BY day NULLS LAST, mst LIMIT 100")
-def list_sorted_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(spark, sf).select("mst", F.nullif(F.trim("enforce_date"), F.lit("")).alias("day")).orderBy(F.asc_nulls_last("day"), "mst").limit(100)
+def list_by_dept(spark: SparkSession, sf: str, dept: str | None = "도로과", action: bool = True) -> DataFrame:
+    """Ordinances of a department (of all without one), those with something to do if ``action``."""
+    rows = scan(spark, sf).where(F.lit(True) if dept is None else F.col("dept") == dept)
+    return rows.where("items > 0" if action else "true").select("mst", "name", "items").orderBy(F.desc("items"), "name", "mst")
 
 
 @R.query(f"SELECT mst, nullif(trim(enforce_date), '') AS day FROM {_SCAN} ORDER BY day NULLS LAST, mst")
-def list_all_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole list, of which list_sorted_by_date is the first hundred."""
-    return scan(spark, sf).select("mst", F.nullif(F.trim("enforce_date"), F.lit("")).alias("day")).orderBy(F.asc_nulls_last("day"), "mst")
+def list_sorted_by_date(spark: SparkSession, sf: str, newest: bool = False) -> DataFrame:
+    """The whole list, oldest or newest first, those without a day last."""
+    day = F.desc_nulls_last("day") if newest else F.asc_nulls_last("day")
+    return scan(spark, sf).select("mst", F.nullif(F.trim("enforce_date"), F.lit("")).alias("day")).orderBy(day, "mst")
 
 
 _RANK = "CASE severity WHEN 'mechanical' THEN 0 WHEN 'review' THEN 1 WHEN 'check' THEN 2 WHEN 'current' THEN 3 ELSE 4 END"
