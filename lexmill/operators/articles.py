@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import primary_department
 from lexmill.operators.clauses import label
 from lexmill.operators.shred import article_label, parse_record
 
@@ -61,6 +62,38 @@ def ordinance_rows(root) -> list[tuple]:
     return [(pos, article_label("조", u.findtext("조문번호"), None, None), _leaf(u, "조문여부") == "Y", _leaf(u, "조제목"), "", "", "", False, _leaf(u, "조내용")) for pos, u in enumerate(units)]
 
 
+# Leaves of an ordinance's head, and the texts that follow its articles.
+ORDINANCE_HEAD = {"mst": "자치법규일련번호", "name": "자치법규명", "enforce_date": "시행일자", "promulg_date": "공포일자", "dept": "담당부서명", "phone": "전화번호"}
+APPENDED = ("개정문내용", "제개정이유내용")
+
+
+def ordinance_meta(df: DataFrame, key: str = "mst", xml: str = "body_xml") -> DataFrame:
+    """The head of each ordinance and its full text: bodies of all units, then of amendments and reasons, a line each.
+
+    ``key`` is kept as rec_id; the department is the first of several. A missing or damaged
+    text, or one without a head, gives no row.
+    """
+    fields = [*ORDINANCE_HEAD, "full_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = [], []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                root = parse_record(x.as_py())
+                head = root.find("자치법규기본정보") if root is not None else None
+                if head is None:
+                    continue
+                texts = [_leaf(u, "조내용") for c in root.iter("조문") for u in c if u.tag == "조"]
+                texts += ["\n".join(t for y in e.itertext() if (t := y.strip())) for tag in APPENDED if (e := root.find(f".//{tag}")) is not None]
+                ids.append(i)
+                rows.append((*[_leaf(head, tag) for tag in ORDINANCE_HEAD.values()], "\n".join(t for t in texts if t)))
+            columns = list(zip(*rows)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *[pa.array(c, pa.string()) for c in columns]], ["rec_id", *fields])
+
+    out = df.select(df[key].cast("string"), df[xml]).mapInArrow(run, "rec_id string, " + ", ".join(f"{f} string" for f in fields))
+    return out.withColumn("dept", primary_department(F.col("dept")))
+
+
 def _headed(lines: list[str]) -> dict[str, list[str]]:
     """Lines below the article head that precedes them; lines before any head drop out."""
     heads = [label(int(m[1]), int(m[2] or 0)) if (m := HEAD.match(x.strip())) else None for x in lines]

@@ -39,6 +39,26 @@ def unified_html(diff: Column) -> Column:
     return F.array_join(F.transform(diff, piece), "")
 
 
+SHOWN = 40  # letters of a change shown at the place it has on the other side
+
+
+def sided_html(diff: Column) -> Column:
+    """struct(was, now): the diff as two texts, each change marked on both sides; where one side has nothing, a caret stands and says what the other has."""
+    blank = lambda x: F.trim(x["text"]) == ""
+    mark = lambda x, c: F.when(blank(x), escape_html(x["text"])).otherwise(F.concat(F.lit(f'<mark class="{c}">'), escape_html(x["text"]), F.lit("</mark>")))
+    caret = lambda x, said: F.when(blank(x), F.lit("")).otherwise(F.concat(F.lit('<mark class="pt" title="'), escape_html(F.substring(F.trim(x["text"]), 1, SHOWN)), F.lit(f' {said}">‸</mark>')))
+    at = lambda i: F.coalesce(F.get(diff, i)["kind"], F.lit("="))
+
+    def side(own: str, css: str, said: str) -> Column:
+        # A gone and a new text side by side are an exchange, which needs no caret.
+        other = "+" if own == "-" else "-"
+        beside = lambda i: at(i + 1) if own == "+" else at(i - 1)
+        piece = lambda x, i: F.when(x["kind"] == "=", escape_html(x["text"])).when(x["kind"] == own, mark(x, css)).when((x["kind"] == other) & (beside(i) != own), caret(x, said)).otherwise(F.lit(""))
+        return F.array_join(F.transform(diff, piece), "")
+
+    return F.struct(side("-", "d", "추가됨").alias("was"), side("+", "i", "삭제됨").alias("now"))
+
+
 def highlight(text: Column, spans: Column) -> Column:
     """HTML of a text with marked spans array<struct<start,end,css>>; overlapping, empty and outside spans are skipped."""
     ordered = F.array_sort(spans)

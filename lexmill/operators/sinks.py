@@ -10,13 +10,14 @@ import csv
 import html
 import json
 import os
-import shutil
 import zipfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.session import delete, exists, rename
+
 REPORT_ROWS = 100_000
 
 
@@ -89,14 +90,28 @@ def zip_folder(folder: str, path: str) -> str:
     return path
 
 
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether a table stands at ``path``; a state that a crash left aside is put back first."""
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        rename(spark, f"{path}.old", path)
+    return exists(spark, path)
+
+
 def swap(df: DataFrame, path: str) -> DataFrame:
-    """Put a new state of a table in place of the old: written beside it first, so a table that is read is never overwritten."""
-    fresh = f"{path}.new"
-    df.write.mode("overwrite").parquet(fresh)
-    if os.path.isdir(path):
-        shutil.rmtree(path)
-    os.rename(fresh, path)
-    return df.sparkSession.read.parquet(path)
+    """Put a new state of a table in place of the old, on any file system.
+
+    The new state is written beside the old one, which is set aside and removed last, so
+    a table that is read is never overwritten and at every moment one whole state exists.
+    """
+    spark = df.sparkSession
+    there = recovered(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    delete(spark, f"{path}.old")
+    if there:
+        rename(spark, path, f"{path}.old")
+    rename(spark, f"{path}.new", path)
+    delete(spark, f"{path}.old")
+    return spark.read.parquet(path)
 
 
 def persist_tables(frames: dict[str, DataFrame], folder: str, evidence: int = 8000) -> None:

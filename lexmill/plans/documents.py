@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import name_key, unit_label
+from lexmill.functions.text import finding_grade, name_key, normalize_text, unit_label
 from lexmill.operators import articles as A
 from lexmill.operators import citations as C
 from lexmill.operators import diff as D
+from lexmill.operators.report import in_order, report_items
 from lexmill.plans import pipeline as P
+from lexmill.plans import views as V
 from lexmill.plans.registry import Registry
 from lexmill.plans.scalars import PREFIXES
 from lexmill.session import spread
-from lexmill.sources.source import TableSource
+from lexmill.sources.source import FrameSource, Source, TableSource
 from lexmill.sources.tables import table
 
 R = Registry()
@@ -28,6 +30,12 @@ def ordinance_articles(spark: SparkSession, sf: str) -> DataFrame:
     return A.parsed_articles(_ordinances(spark, sf), "mst", rows=A.ordinance_rows).select("mst", "pos", "label", "is_article", "title", F.col("content").alias("body"))
 
 
+@R.query()
+def ordinance_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads of the ordinances as their bodies state them, with the full text."""
+    return A.ordinance_meta(_ordinances(spark, sf))
+
+
 @R.query()
 def law_articles(spark: SparkSession, sf: str) -> DataFrame:
     """Articles of the stored laws, administrative rules of any style included."""
@@ -190,3 +198,53 @@ def trace_match(spark: SparkSession, sf: str) -> DataFrame:
     same = F.col("stored").eqNullSafe(F.col("r.severity")) & (F.col("stored_change") == F.col("r.change_type"))
     match = F.when(F.col("r").isNull(), False).otherwise(same)
     return stored.join(replayed, keys, "left").select("id", "stored", "stored_change", F.col("r.severity").alias("replayed"), F.col("r.change_type").alias("replayed_change"), match.alias("match"))
+
+
+# ---- one ordinance in full
+def detail_articles(source: Source, citations: DataFrame, findings: DataFrame) -> DataFrame:
+    """Articles of ordinances with marked citations, how many there are, and how many ask for something.
+
+    citations and findings as stored. A citation asks for something if a finding other than
+    current points at its article, law and one of its labels, or at the law as a whole. The
+    mark of a span says what it is: of another ordinance, without brackets, of a law, or of
+    one that needs nothing. Units without a text are left out.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    c = citations.where("mst IS NOT NULL").select("mst", blank("article_no").alias("label"), blank("law_name").alias("law"), "span_start", "span_end", (F.coalesce("cite_naked", F.lit(0)) != 0).alias("naked"), "cite_type", F.transform(F.split(blank("clause_label"), ","), lambda x: F.trim(x)).alias("labels"))
+    grade = finding_grade(F.col("severity"), F.col("change_type"), F.col("cite_naked"), F.col("cite_spacing"))
+    open_ = findings.where(grade != "current").select("mst", F.trim(F.substring_index(blank("ord_clause"), ",", 1)).alias("label"), blank("law_name").alias("law"), blank("clause_label").alias("asked"))
+    open_ = open_.groupBy("mst", "label", "law").agg(F.collect_set("asked").alias("asked"))  # labels of one law in one article
+    j = c.join(open_, ["mst", "label", "law"], "left")
+    act = F.coalesce(F.arrays_overlap("labels", "asked") | F.array_contains("asked", ""), F.lit(False))
+    local = F.col("cite_type") == "자치법규"
+    css = F.when(~act & ~F.coalesce(local, F.lit(False)), "cite-current").when(local, "cite-local").when(F.col("naked"), "cite-naked").otherwise("cite-law")
+    span = F.struct(F.coalesce("span_start", F.lit(0)).cast("int").alias("start"), F.coalesce("span_end", F.lit(0)).cast("int").alias("end"), css.alias("css"))
+    spans = j.groupBy("mst", "label").agg(F.collect_list(span).alias("spans"), F.count(F.lit(1)).alias("cites"), F.count_if(act).alias("act"))
+    units = A.parsed_articles(P.delivered(source), "mst", rows=A.ordinance_rows).where("content != ''").select("mst", "pos", "label", "title", normalize_text(F.col("content")).alias("text"))
+    none = F.array().cast("array<struct<start:int,end:int,css:string>>")
+    html = D.highlight(F.col("text"), F.coalesce("spans", none))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return units.join(spans, ["mst", "label"], "left").select("mst", "pos", "label", "title", html.alias("html"), zero("cites"), zero("act"))
+
+
+@R.query()
+def ordinance_detail_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return detail_articles(TableSource(spark, sf), table(spark, sf, "citations"), table(spark, sf, "findings"))
+
+
+def ordinance_detail(spark: SparkSession, sf: str, mst: str) -> dict[str, DataFrame]:
+    """All views of one ordinance: its row, articles, law cards, cited ordinances, composition, linked laws, report items."""
+    one = F.col("mst") == mst
+    s = TableSource(spark, sf)
+    source = FrameSource(s.ordinances().where(one), s.laws(), s.versions(), s.names())
+    cited, found = table(spark, sf, "citations").where(one), table(spark, sf, "findings").where(one)
+    local = cited.where("cite_type = '자치법규' AND law_name <> ''").select("mst", "law_name").distinct()
+    return {
+        "meta": table(spark, sf, "ordinances").where(one).drop("body_xml"),
+        "articles": detail_articles(source, cited, found).orderBy("pos"),
+        "law_refs": V.law_cards(spark, sf).where(one),
+        "local_refs": V.local_targets(local, ["law_name"], V.ordinances(spark, sf)),
+        "features": V.cite_features(spark, sf).where(one),
+        "linked_refs": V.linked_not_cited(spark, sf).where(one),
+        "recommend": in_order(report_items(found, V.ordinances(spark, sf), mst, include_current=True)),
+    }

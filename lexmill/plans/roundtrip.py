@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators import articles as A
+from lexmill.operators import citations as C
+from lexmill.operators import diff as D
 from lexmill.plans import pipeline as P
+from lexmill.plans import views as V
 from lexmill.plans.registry import Registry
 from lexmill.plans.scalars import PREFIXES
 from lexmill.sources.source import FrameSource
@@ -87,3 +91,87 @@ def pipeline_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Changed, same, moved, renumbered, deleted, lost, renamed, unresolved, local rules, administrative rules, bare and unbracketed citations."""
     found = P.findings_of(rows_source(spark, sf), PREFIXES)
     return found.select("mst", "law_id", "article_no", "label", "category", "severity", "change_type", "detail", "evidence", "clause_enforce", "old_enforce", "clause_detail", "naked")
+
+
+# ---- citations, tokens and articles made of rows
+_ROWS = "(SELECT DISTINCT l_orderkey * 100000 + l_linenumber * 10000 + (1 + l_partkey % 9) * 1000 + (1 + l_suppkey % 5) * 10 + (l_quantity::INT % 4) AS doc, l_linenumber AS n, 1 + l_partkey % 9 AS h, 1 + l_suppkey % 5 AS g, (l_quantity::INT % 4) AS o FROM lineitem)"
+_TOKENS = f"""(SELECT doc, unnest([1, 2, 3, 4, 4]) AS seq, unnest(['법' || h || '률', '법' || h || '률' || CASE WHEN o % 2 = 0 THEN ' 시행령' ELSE '' END, '도로' || '법', '법' || h || '률', '법' || h || '률']) AS law_name,
+ unnest(['제' || n || '조', '제' || g || '조', '제' || h || '조', '제' || (n + 1) || '조', '제' || (n + 2) || '조']) AS label, unnest([g, 0, 0, 0, 0]) AS hang, unnest(['inline', 'carry_over', 'naked', 'alias', 'alias']) AS way FROM {_ROWS})"""
+
+
+def _references(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations read from texts made of rows, with every way of citing."""
+    c = F.col
+    r = table(spark, sf, "lineitem").select("l_orderkey", c("l_linenumber").alias("n"), (1 + c("l_partkey") % 9).alias("h"), (1 + c("l_suppkey") % 5).alias("g"), (c("l_quantity").cast("int") % 4).alias("o")).distinct()
+    text = F.concat(
+        F.lit("「법"), c("h"), F.lit('률」(이하 "약칭"이라 한다) 제'), c("n"), F.lit("조제"), c("g"), F.lit("항에 따라 같은 "), F.when(c("o") % 2 == 0, "법 시행령").otherwise("법"), F.lit(" 제"), c("g"),
+        F.lit("조와 도로법 제"), c("h"), F.lit("조를 보고 약칭 제"), c("n") + 1, F.lit("조부터 제"), c("n") + 2, F.lit("조까지 본다."),
+    )
+    docs = r.select((c("l_orderkey") * 100000 + c("n") * 10000 + c("h") * 1000 + c("g") * 10 + c("o")).alias("doc"), text.alias("text"))
+    return C.extract_from_text(docs, "doc", "text")
+
+
+@R.query(f"""SELECT doc, law_name, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT way, ',' ORDER BY way) AS ways, min(seq)::INT AS first_seq, bool_and(way = 'naked') AS naked_only FROM {_TOKENS} GROUP BY doc, law_name""")
+def group_by_law_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    g = C.group_by_law(_references(spark, sf), key="doc")
+    return g.select("doc", "law_name", F.array_join("labels", ",").alias("labels"), F.array_join("ways", ",").alias("ways"), "first_seq", "naked_only")
+
+
+@R.query(f"SELECT doc, law_name, label, nullif(hang, 0)::INT AS hang, min(seq)::INT AS ord_seq FROM {_TOKENS} GROUP BY doc, law_name, label, hang")
+def dedup_occurrences_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return C.occurrences(_references(spark, sf), key="doc").select("doc", "law_name", "label", "hang", "ord_seq")
+
+
+@R.query(f"SELECT doc, law_name, label, CASE WHEN count(DISTINCT hang) = 1 AND min(hang) > 0 THEN min(hang) END::INT AS hang FROM {_TOKENS} GROUP BY doc, law_name, label")
+def resolve_specs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return C.narrow_specs(C.occurrences(_references(spark, sf), key="doc"), key="doc").select("doc", "law_name", "label", "hang")
+
+
+@R.query("""SELECT o_orderkey::VARCHAR AS rec_id, '조례' || o_orderkey AS name, strftime(o_orderdate, '%Y%m%d') AS enforce_date, o_orderpriority AS dept, '본문' || o_custkey || chr(10) || '고친 글' || chr(10) || '까닭 ' || (o_custkey % 7) AS full_text, '제' || (1 + o_custkey % 30) || '조' || CASE WHEN o_custkey % 3 > 0 THEN '의' || (o_custkey % 3) ELSE '' END AS label, o_custkey % 2 = 0 AS is_article FROM orders""")
+def ordinance_parse_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of ordinances made of orders: head, full text and articles read back."""
+    o, c = table(spark, sf, "orders"), F.col
+    code = F.concat(F.lpad((1 + c("o_custkey") % 30).cast("string"), 4, "0"), F.lpad((c("o_custkey") % 3).cast("string"), 2, "0"))
+    leaf = lambda tag, v: F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>"))
+    head = leaf("자치법규기본정보", F.concat(leaf("자치법규명", F.concat(F.lit("조례"), c("o_orderkey"))), leaf("시행일자", F.date_format("o_orderdate", "yyyyMMdd")), leaf("담당부서명", F.concat(c("o_orderpriority"), F.lit(" , 다른 과")))))
+    unit = leaf("조문", leaf("조", F.concat(leaf("조문번호", code), leaf("조문여부", F.when(c("o_custkey") % 2 == 0, "Y").otherwise("N")), leaf("조내용", F.concat(F.lit(" 본문"), c("o_custkey"), F.lit(" "))))))
+    tail = F.concat(leaf("개정문내용", F.lit(" 고친 글 ")), leaf("제개정이유내용", F.concat(F.lit("<p>까닭 "), c("o_custkey") % 7, F.lit("</p>"))))
+    docs = o.select(c("o_orderkey").cast("string").alias("mst"), leaf("법령", F.concat(head, unit, tail)).alias("body_xml"))
+    articles = A.parsed_articles(docs, "mst", rows=A.ordinance_rows).select(F.col("mst").alias("rec_id"), "label", "is_article")
+    return A.ordinance_meta(docs).select("rec_id", "name", "enforce_date", "dept", "full_text").join(articles, "rec_id")
+
+
+_MOVES = "(SELECT p_partkey AS k, p_size AS s FROM part)"
+
+
+@R.query(f"SELECT k::VARCHAR AS law_id, '제' || (s + 100) || '조' AS label, CASE WHEN k % 3 = 0 THEN '제' || s || '조' END AS moved_to, CASE WHEN k % 3 = 1 THEN '제' || s || '조' END AS same_text, CASE WHEN k % 3 = 0 THEN '20200101' END AS enforce_date FROM {_MOVES}")
+def moved_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels that are gone, found again by what the new article says of itself, or by its text."""
+    c = F.col
+    p = table(spark, sf, "part").select(c("p_partkey").cast("string").alias("law_id"), c("p_partkey").alias("k"), c("p_size").alias("s"))
+    label = lambda n: F.concat(F.lit("제"), n, F.lit("조"))
+    now = p.select("law_id", F.lit(3).alias("pos"), label(c("s")).alias("label"), F.when(c("k") % 3 == 0, label(c("s") + 100)).otherwise("").alias("moved_from"), F.lit("20200101").alias("enforce_date"), F.concat(F.lit("글 "), c("s")).alias("content"))
+    later = now.select("law_id", F.lit(9).alias("pos"), F.lit("제999조").alias("label"), "moved_from", F.lit("20210101").alias("enforce_date"), F.lit("다른 글").alias("content"))
+    articles = now.unionByName(later)
+    gone = p.select("law_id", label(c("s") + 100).alias("label"), F.when(c("k") % 3 == 1, F.concat(F.lit("글"), c("s"))).otherwise("없는 글").alias("content"))
+    same = A.renumbered(gone, articles).select("law_id", "label", F.col("moved_to").alias("same_text"))
+    return A.moved_to(gone.select("law_id", "label"), articles).join(same, ["law_id", "label"], "left").select("law_id", "label", "moved_to", "same_text", "enforce_date")
+
+
+@R.query("""SELECT p_partkey AS id, '가 <mark class="d">나' || p_size || '</mark><mark class="i">다' || p_size || '</mark> 라' AS one, '가 <mark class="d">나' || p_size || '</mark> 라' AS was, '가 <mark class="i">다' || p_size || '</mark> 라' AS now,
+ '가 나<mark class="pt" title="&lt;' || p_size || ' 추가됨">‸</mark>' AS inserted FROM part""")
+def token_diff_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """An exchanged word in one flow and on two sides, and an insertion with its caret."""
+    s = F.col("p_size")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("가 나"), s, F.lit(" 라")).alias("a"), F.concat(F.lit("가 다"), s, F.lit(" 라")).alias("b"), F.lit("가 나").alias("c"), F.concat(F.lit("가 나<"), s).alias("d"))
+    both, added = D.token_diff("a", "b"), D.token_diff("c", "d")
+    t = p.select("id", both.alias("x"), added.alias("y"))
+    return t.select("id", D.unified_html(F.col("x")).alias("one"), D.sided_html(F.col("x"))["was"].alias("was"), D.sided_html(F.col("x"))["now"].alias("now"), D.sided_html(F.col("y"))["was"].alias("inserted"))
+
+
+@R.query("""SELECT c_custkey AS id, (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = c_nationkey % 5 AND n_nationkey <> c_nationkey) AS target FROM customer""")
+def local_ref_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordinances cited by name: of several of one name the smallest, never the citing one."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("mst"), F.concat(F.lit("지역 "), F.col("c_nationkey") % 5, F.lit(" 조례")).alias("law_name"))
+    o = table(spark, sf, "nation").select(F.col("n_nationkey").alias("mst"), F.concat(F.lit("지역"), F.col("n_regionkey"), F.lit("조례")).alias("name"))
+    return V.local_targets(c, ["id"], o).select("id", "target")

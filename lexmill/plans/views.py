@@ -150,10 +150,21 @@ def unresolved_law(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(f"SELECT c.mst, c.article_no, c.law_name, min(o.mst) AS target FROM (SELECT DISTINCT mst, article_no, law_name FROM citations WHERE law_name <> '') c JOIN {_ORD} o ON replace(c.law_name,' ','') = replace(o.name,' ','') AND o.mst <> c.mst GROUP BY ALL")
 def local_ref_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    """Cited ordinances by name, never the citing one; of several the smallest mst."""
     c = table(spark, sf, "citations").where("law_name <> ''").select("mst", "article_no", "law_name").distinct()
-    o = ordinances(spark, sf).select(F.col("mst").alias("target"), X.name_key(F.col("name")).alias("k"))
-    return c.join(o, (X.name_key(c.law_name) == o.k) & (o.target != c.mst)).groupBy("mst", "article_no", "law_name").agg(F.min("target").alias("target"))
+    return local_targets(c, ["mst", "article_no", "law_name"], ordinances(spark, sf))
+
+
+def local_targets(cited: DataFrame, by: list[str], ordinances: DataFrame) -> DataFrame:
+    """(*by, target) of cited(mst, law_name, ...) that name an ordinance(mst, name), never the citing one; of several the smallest mst.
+
+    The two smallest ordinances of a name are found first, so a name many share is no long list to meet.
+    """
+    named = ordinances.groupBy(X.name_key(F.col("name")).alias("k")).agg(F.min("mst").alias("first"))
+    second = ordinances.withColumn("k", X.name_key(F.col("name"))).join(named, "k").where("mst <> first").groupBy("k").agg(F.min("mst").alias("second"))
+    two = named.join(second, "k", "left").select("k", "first", "second")
+    c = cited.withColumn("k", X.name_key(F.col("law_name"))).join(two, "k")
+    target = F.when(F.col("first") == F.col("mst"), F.col("second")).otherwise(F.col("first"))
+    return c.withColumn("target", target).where("target IS NOT NULL").groupBy(*by).agg(F.min("target").alias("target"))
 
 
 # ---- changes and affected ordinances

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +31,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; all it writes in between lies there."""
+    return os.path.join(checkpoint_dir(spark), "lexmill", spark.sparkContext.applicationId)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table written below the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "lexmill", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path for a table written below the shared folder."""
+    return os.path.join(run_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove what this application wrote in between. Frames that read it must have been written or collected before; call it when a job's results are stored."""
+    delete(spark, run_folder(spark))
 
 
 def write_shared(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -49,9 +60,48 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers find this package wherever the driver was started."""
+    """Python workers find this package wherever the driver was started: on this machine by its folder, elsewhere by a zip sent to them once."""
+    sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+    if sc.master.startswith("local[") or sc.master == "local":
+        known = sc.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+    elif not getattr(sc, "_lexmill_sent", False):
+        sc.addPyFile(package_zip(tempfile.mkdtemp(prefix="lexmill-")))
+        sc._lexmill_sent = True
+
+
+def package_zip(folder: str) -> str:
+    """The package's modules as a zip in a folder of the driver, which Spark's own file server hands out."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "lexmill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    return path
+
+
+# ---- paths of any file system Spark reaches
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _path(spark, old)
+    if not fs.rename(p, _path(spark, new)[1]):
+        raise OSError(f"{old} could not be renamed to {new}")

@@ -41,3 +41,16 @@ def numbered(rows: DataFrame, order: list[str | Column], limit: int | None = Non
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of two states of a table whose columns were only ever added to."""
     return old.unionByName(new, allowMissingColumns=True)
+
+
+def first_body(asked: DataFrame, key: str, *lookups: tuple[DataFrame, str]) -> DataFrame:
+    """asked(key) with the body of the first landed table that has one: lookups(frame with body_xml, its column equal to the key), asked in turn.
+
+    So a rule is looked up by its own id, then by that of its series; '' if no table has it.
+    """
+    out, found = asked, []
+    for k, (df, column) in enumerate(lookups):
+        body = df.where(F.length("body_xml") > 0).groupBy(F.col(column).alias(key)).agg(F.max("body_xml").alias(f"__body{k}"))
+        out = out.join(body, key, "left")
+        found.append(f"__body{k}")
+    return out.select(*asked.columns, F.coalesce(*found, F.lit("")).alias("body_xml"))

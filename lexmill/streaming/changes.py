@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.functions.dates import norm_version_key
-from lexmill.operators.sinks import swap
+from lexmill.operators.sinks import recovered, swap
 from lexmill.operators.store import insert_absent, replace_rows
 
 STATE = "law_id string, version_key string"
@@ -22,7 +22,7 @@ LOG = "law_id string, new_key string, old_key string, detected_at timestamp_ntz"
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if os.path.isdir(path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if recovered(spark, path) else spark.createDataFrame([], schema)
 
 
 def apply_batch(batch: DataFrame, folder: str) -> None:
