@@ -1,5 +1,8 @@
 """Nested XML records as flat tables, by columnar shredding.
 
+What repeats in a record is given as a tree of groups: sibling groups beside each other,
+groups below groups, groups that hold themselves to any depth.
+
 Each leaf path of a record becomes a column of entries (repetition level,
 definition level, value), as in column stores for nested data. The tables of the
 repeated ancestors are then rebuilt from the level sequences alone, for a whole
@@ -26,9 +29,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
+@dataclass(frozen=True)
+class Group:
+    """Elements that repeat below a record or another group, and what is read of them (projection reaches the shredder).
+
+    tags: the elements, whose common order is kept; leaves: name and child element, which a
+    mapping may give by the tag of the element, '' being the element's own text; within:
+    the element that holds them, anywhere in a record or directly below the parent;
+    recursive: whether they also stand directly below each other.
+    """
+
+    name: str
+    tags: tuple[str, ...]
+    leaves: dict[str, str | dict[str, str]] = field(default_factory=dict)
+    below: tuple[Group, ...] = ()
+    within: str = ""
+    recursive: bool = False
+
+
 @dataclass(frozen=True)
 class RecordSpec:
-    """Which elements repeat and which leaves are wanted (projection reaches the shredder).
+    """The common case: units in a container, with one recursive group below each.
 
     container: element whose children are the units; units: their tags;
     nested: tags of the recursively repeated group below a unit;
@@ -42,6 +63,10 @@ class RecordSpec:
     unit_leaves: tuple[str, ...] = ()
     nested_leaves: dict[str, dict[str, str]] = field(default_factory=dict)
 
+    def group(self) -> Group:
+        nested = Group("nested", self.nested, dict(self.nested_leaves), recursive=True)
+        return Group("unit", self.units, {x: x for x in self.unit_leaves}, (nested,), self.container)
+
 
 @dataclass
 class LevelColumn:
@@ -134,57 +159,106 @@ def record_units(root: ET.Element, spec: RecordSpec) -> list[ET.Element]:
     return [u for c in root.iter(spec.container) for u in c if u.tag in units]
 
 
-def _depth(el: ET.Element, nested: frozenset[str]) -> int:
-    return max((1 + _depth(c, nested) for c in el if c.tag in nested), default=0)
-
-
-def shred(roots: Iterable[ET.Element | None], spec: RecordSpec) -> dict[tuple[int, str], LevelColumn]:
-    """Level columns by (depth, leaf); depth 1 is the unit, 2 and more the nested group.
+class _Node:
+    """A group at one path of groups, with its columns and the nodes below it."""
+
+    def __init__(self, group: Group, parent: _Node | None, like: LevelColumn | None = None) -> None:
+        self.group, self.parent, self.tags = group, parent, frozenset(group.tags)
+        self.path: tuple[str, ...] = (*(parent.path if parent else ()), group.name)
+        self.depth = len(self.path)
+        self.kind = LevelColumn(self.depth)
+        self.leaves = [(x, LevelColumn(self.depth)) for x in group.leaves.values()]
+        self.every = [self.kind, *(c for _, c in self.leaves)]  # own columns and all below
+        self.again: _Node | None = None
+        if like is not None:  # the records read so far have nothing here: an entry for each of the parent's
+            for c in self.every:
+                c.rep, c.values = list(like.rep), [None] * len(like.rep)
+                c.defs = [min(d, self.depth - 1) for d in like.defs]
+        self.below = [_Node(g, self, self.kind if like is not None else None) for g in group.below]
+        for n in self.below:
+            self.every += n.every
+
+    def deeper(self) -> _Node:
+        """The node of this group below itself, begun when it is first met."""
+        if self.again is None:
+            like = LevelColumn(self.depth, self.kind.rep[:-1], self.kind.defs[:-1])
+            self.again = _Node(self.group, self, like)
+            n: _Node | None = self
+            while n is not None:
+                n.every += self.again.every
+                n = n.parent
+        return self.again
+
+    def nodes(self) -> Iterator[_Node]:
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack += [*n.below, *([n.again] if n.again else [])]
+
+
+def _held(el: ET.Element, group: Group, tags: frozenset[str], record: bool) -> list[ET.Element]:
+    if not group.within:
+        return [c for c in el if c.tag in tags]
+    holders = el.iter(group.within) if record else el.iterfind(group.within)
+    return [c for h in holders for c in h if c.tag in tags]
+
+
+def shred_groups(roots: Iterable[ET.Element | None], groups: Iterable[Group]) -> dict[tuple[tuple[str, ...], str], LevelColumn]:
+    """Level columns by (path of groups, leaf); the leaf ``kind`` is the tag of the element.
 
     Every record adds at least one entry to every column, so the n-th entry with
-    repetition level 0 belongs to the n-th record.
+    repetition level 0 belongs to the n-th record. Depth costs no stack.
     """
-    nested = frozenset(spec.nested)
-    records = [record_units(r, spec) if r is not None else [] for r in roots]
-    deepest = 1 + max((_depth(u, nested) for us in records for u in us), default=0)
-    unit_leaves = ("kind", *spec.unit_leaves)
-    nested_leaves = ("kind", *spec.nested_leaves)
-    columns = {(1, x): LevelColumn(1) for x in unit_leaves}
-    columns |= {(d, x): LevelColumn(d) for d in range(2, deepest + 1) for x in nested_leaves}
-    below = {d: [c for (k, _), c in columns.items() if k > d] for d in range(deepest + 1)}
-    kinds = {d: columns[d, "kind"] for d in range(1, deepest + 1)}
-    unit_columns = [(x, columns[1, x]) for x in spec.unit_leaves]
-    nested_columns = {d: [(tags, columns[d, x]) for x, tags in spec.nested_leaves.items()] for d in range(2, deepest + 1)}
-
-    def children(el: ET.Element, depth: int, rep: int) -> None:
-        first = True
-        for c in el:
-            if c.tag in nested:
-                r = rep if first else depth + 1
-                first = False
-                kinds[depth + 1].add(r, depth + 2, c.tag)
-                for tags, column in nested_columns[depth + 1]:
-                    value = c.findtext(tags.get(c.tag, ""), None) if c.tag in tags else None
-                    column.add(r, depth + 1 + (value is not None), value)
-                children(c, depth + 1, r)
-        if first:
-            for column in below[depth]:
-                column.add(rep, depth, None)
-
-    for units in records:
-        if not units:
-            for column in columns.values():
-                column.add(0, 0, None)
-        for i, u in enumerate(units):
-            rep = int(i > 0)
-            kinds[1].add(rep, 2, u.tag)
-            for leaf, column in unit_columns:
-                value = u.findtext(leaf)
-                column.add(rep, 1 + (value is not None), value)
-            children(u, 1, rep)
+    tops = [_Node(g, None) for g in groups]
+    for root in roots:
+        for top in tops:
+            found = _held(root, top.group, top.tags, True) if root is not None else []
+            if not found:
+                for c in top.every:
+                    c.add(0, 0, None)
+                continue
+            stack = [[iter(found), top, 0]]
+            while stack:
+                frame = stack[-1]
+                el = next(frame[0], None)
+                if el is None:
+                    stack.pop()
+                    continue
+                node, rep = frame[1], frame[2]
+                depth = frame[2] = node.depth
+                node.kind.add(rep, depth + 1, el.tag)
+                for leaf, column in node.leaves:
+                    tag = leaf if isinstance(leaf, str) else leaf.get(el.tag)
+                    value = None if tag is None else el.findtext(tag) if tag else el.text
+                    column.add(rep, depth + (value is not None), value)
+                for child in node.below:
+                    kids = _held(el, child.group, child.tags, False)
+                    if kids:
+                        stack.append([iter(kids), child, rep])
+                    else:
+                        for c in child.every:
+                            c.add(rep, depth, None)
+                if node.group.recursive:
+                    kids = [c for c in el if c.tag in node.tags]
+                    if kids:
+                        stack.append([iter(kids), node.deeper(), rep])
+                    elif node.again is not None:
+                        for c in node.again.every:
+                            c.add(rep, depth, None)
+    columns = {}
+    for top in tops:
+        for n in top.nodes():
+            columns[n.path, "kind"] = n.kind
+            columns |= {(n.path, x): c for x, (_, c) in zip(n.group.leaves, n.leaves)}
     return columns
 
 
+def shred(roots: Iterable[ET.Element | None], spec: RecordSpec) -> dict[tuple[int, str], LevelColumn]:
+    """Level columns by (depth, leaf); depth 1 is the unit, 2 and more the nested group."""
+    return {(len(path), leaf): c for (path, leaf), c in shred_groups(roots, (spec.group(),)).items()}
+
+
 @dataclass
 class Instances:
     """The rows of one repeated ancestor: record number, unit number, ordinals of each level."""
@@ -296,3 +370,48 @@ def shred_units(df: DataFrame, rec_id: str, xml: str) -> DataFrame:
                 yield from unit_tables(part.column(0), (x.as_py() for x in part.column(1))).to_batches()
 
     return df.select(df[rec_id].cast("string"), df[xml]).mapInArrow(run, "rec_id string, path string, level string, label string")
+
+
+def group_tables(ids: pa.Array, texts: Iterable[str | None], groups: tuple[Group, ...], leaves: tuple[str, ...]) -> pa.Table:
+    """Of one batch, every instance of every group as a row (rec_id, level, path, parent, kind, *leaves), rebuilt from the levels."""
+    columns = shred_groups((parse_record(x) for x in texts), groups)
+    schema = pa.schema([(x, pa.string()) for x in ("rec_id", "level", "path", "parent", "kind", *leaves)])
+    out = []
+    for path in dict.fromkeys(p for p, _ in columns):
+        rows = rebuild(columns[path, "kind"])
+        n = len(rows.at)
+        if not n:
+            continue
+        parent = dotted(rows.ordinals[:-1]) if len(path) > 1 else pa.nulls(n, pa.string())
+        level = "/".join(dict.fromkeys(path))  # a group below itself is one table
+        pick = lambda leaf: pa.array([columns[path, leaf].values[i] for i in rows.at.tolist()], pa.string()) if (path, leaf) in columns else pa.nulls(n, pa.string())  # noqa: E731, B023
+        out.append(pa.record_batch([ids.take(pa.array(rows.record)), pa.array([level] * n), dotted(rows.ordinals), parent, pick("kind"), *[pick(x) for x in leaves]], schema=schema))
+    return pa.Table.from_batches(out, schema)
+
+
+def shred_rows(df: DataFrame, rec_id: str, xml: str, groups: tuple[Group, ...]) -> DataFrame:
+    """All groups of nested records as flat rows with their parent, in one narrow pass.
+
+    Columns: rec_id, level (names of the groups from the record down, a recursive one
+    named once), path (dotted ordinals within the groups), parent (the path of the row of
+    the level above, null at the top), kind (the element), and one column per leaf of any
+    group, null where the group has no such leaf or the record no such element. Leaves are
+    single elements of an instance, an empty one is an empty text. A missing, empty or not
+    well-formed text gives no row, a null rec_id keeps its rows.
+    """
+    names: dict[str, None] = {}
+    stack = list(groups)
+    while stack:
+        g = stack.pop(0)
+        names |= dict.fromkeys(g.leaves)
+        stack += g.below
+    leaves = tuple(names)
+    schema = "rec_id string, level string, path string, parent string, kind string" + "".join(f", `{x}` string" for x in leaves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 512):  # bounds the trees held at once
+                part = b.slice(start, 512)
+                yield from group_tables(part.column(0), (x.as_py() for x in part.column(1)), groups, leaves).to_batches()
+
+    return df.select(df[rec_id].cast("string"), df[xml]).mapInArrow(run, schema)

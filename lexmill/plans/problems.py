@@ -9,7 +9,7 @@ from lexmill.functions.dates import norm_date, norm_version_key
 from lexmill.operators.article_diff import article_changes
 from lexmill.operators.asof import asof_join
 from lexmill.operators.history import close_intervals, coalesce_runs
-from lexmill.operators.shred import shred_units, with_heads
+from lexmill.operators.shred import Group, shred_rows, shred_units, with_heads
 from lexmill.session import write_shared
 from lexmill.sources.tables import latest, table
 
@@ -22,6 +22,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laws.unionByName(ordinances).select("src", "rec_id", "path", "level", "label")
 
 
+# The whole of a body, laws and ordinances alike: heads, units with what is nested in them, reasons.
+BODY = (
+    Group("head", ("기본정보", "자치법규기본정보"), {"name": {"기본정보": "법령명_한글", "자치법규기본정보": "자치법규명"}, "rule_name": "행정규칙명", "promulgated": "공포일자", "number": "공포번호", "in_force": "시행일자", "revise_type": "제개정구분", "department": "담당부서명"}),
+    Group(
+        "unit", ("조문단위", "조"), {"flag": "조문여부", "number": "조문번호", "branch": "조문가지번호", "title": {"조문단위": "조문제목", "조": "조제목"}, "text": {"조문단위": "조문내용", "조": "조내용"}, "in_force": "조문시행일자", "moved_from": "조문이동이전", "changed": "조문변경여부"},
+        (Group("nested", ("항", "호", "목"), {"number": {"항": "항번호", "호": "호번호", "목": "목번호"}, "text": {"항": "항내용", "호": "호내용", "목": "목내용"}}, recursive=True),), "조문",
+    ),
+    Group("reason", ("제개정이유내용",), {"text": ""}),
+)
+
+
+def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated group of laws and ordinances as flat rows with all its leaves and its parent."""
+    parts = [(table(spark, sf_dir, "laws"), "laws", "law_id"), (latest(table(spark, sf_dir, "ordinances"), ["mst"], "fetched_at", ["body_xml"]), "ordinances", "mst")]
+    laws, ordinances = (shred_rows(df, key, "body_xml", BODY).withColumn("src", F.lit(src)) for df, src, key in parts)
+    return laws.unionByName(ordinances)
+
+
 # The leaves of a body's head that name its version.
 HEAD = {"promulgated": "공포일자", "number": "공포번호", "in_force": "시행일자"}
 
@@ -140,4 +158,4 @@ ORACLE_SQL = {
  s AS (SELECT law_id, start, min(version_mst) AS version_mst FROM v WHERE start IS NOT NULL GROUP BY 1, 2)
  SELECT id, arg_max(version_mst, start) AS version_mst FROM f JOIN s ON f.law_id = s.law_id AND s.start <= f.day GROUP BY id""",
 }
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p6_found": p6_found}
