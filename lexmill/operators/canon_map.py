@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame
 from lexmill.functions.plain_sql import jamo, run_sql
 from lexmill.session import spread, write_shared
 
-MAX_EDITS = 4  # of the built-in levenshtein; an exchange of neighbours takes two
-MAX_SLIPS = 2
+SLIPS = ((10, 2), (6, 1))  # from so many characters on, so many slips; shorter texts must be met exactly
 
 
 def _only_in(a: str, b: str) -> str:
@@ -17,17 +16,17 @@ def _only_in(a: str, b: str) -> str:
     return f"flatten(transform(array_distinct(split({a}, '')), x -> array_repeat(x, greatest(0, {count(a)} - {count(b)}))))"
 
 
-def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame | None = None, edits: int = MAX_EDITS, slips: int = MAX_SLIPS) -> DataFrame:
+def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame | None = None, slips: tuple[tuple[int, int], ...] = SLIPS) -> DataFrame:
     """For each entered value the entry it means, by a partition-based pigeonhole join.
 
     readings(value, reading): one or more ways to read an entered value, already in
     plain form. entries(entry_id, text): the reference list, several texts per entry
-    allowed. Every text is cut into ``edits + 1`` segments; a reading within ``edits``
-    edits holds at least one segment unchanged. Where it can lie follows from the number
-    of edits left and right of it, so the join is an equality on (length of the text,
-    number of the segment, substring), and the built-in levenshtein verifies. What then
-    counts are slips, at most ``slips`` (one in texts under 10 characters, none under 6):
-    a syllable left out or doubled, neighbours exchanged, or one letter of a syllable
+    allowed. ``slips`` says how many a text of a length may hold; a slip takes two edits at
+    most, so a text is cut into k + 1 segments, k being twice its slips, and a reading
+    within k edits holds at least one segment unchanged. Where it can lie follows from the
+    number of edits left and right of it, so the join is an equality on (length of the
+    text, number of the segment, substring), and the built-in levenshtein verifies. A slip
+    is a syllable left out or doubled, neighbours exchanged, or one letter of a syllable
     changed; other edits make another name. Slips are counted from the characters that
     differ and the edits beyond them, of which an exchange takes two.
 
@@ -40,45 +39,47 @@ def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame |
     empty list or no values give no rows.
     """
     spark = readings.sparkSession
-    n = edits + 1
+    ordered = sorted(slips, reverse=True)
+    most, least = max((n for _, n in ordered), default=0), min((size for size, n in ordered if n), default=1)
+    allowed = lambda size, each: "CASE " + " ".join(f"WHEN {size} >= {k} THEN {each * n}" for k, n in ordered) + " ELSE 0 END"
+    edits = 2 * most
     exact = run_sql(spark, "SELECT DISTINCT r.value, e.entry_id FROM {r} r JOIN {e} e ON r.reading = e.text", r=readings, e=entries)
     # Many values read alike: each reading is compared once.
     open_ = write_shared(run_sql(spark, "SELECT r.value, r.reading FROM {r} r LEFT ANTI JOIN {x} x ON r.value = x.value", r=readings, x=exact), "open")
     segments = run_sql(
         spark,
-        f"""SELECT entry_id, text, length(text) AS len, seg,
-                   CASE WHEN seg < {edits} THEN substr(text, seg * (length(text) DIV {n}) + 1, length(text) DIV {n})
-                        ELSE substr(text, seg * (length(text) DIV {n}) + 1) END AS part
-            FROM {{e}} LATERAL VIEW explode(sequence(0, {edits})) s AS seg WHERE length(text) >= {n}""",
+        f"""SELECT entry_id, text, len, seg,
+                   CASE WHEN seg < k THEN substr(text, seg * (len DIV (k + 1)) + 1, len DIV (k + 1)) ELSE substr(text, seg * (len DIV (k + 1)) + 1) END AS part
+            FROM (SELECT entry_id, text, length(text) AS len, {allowed("length(text)", 2)} AS k FROM {{e}})
+            LATERAL VIEW explode(sequence(0, k)) s AS seg WHERE k > 0 AND len > k""",
         e=entries,
     )
-    # With seg segments to its left and edits - seg to its right, a segment is shifted by at most seg
-    # from the left end and at most edits - seg from the right end of the reading.
+    # With seg segments to its left and k - seg to its right, a segment is shifted by at most seg
+    # from the left end and at most k - seg from the right end of the reading.
     probes = run_sql(
         spark,
-        f"""SELECT reading, len, seg,
-                   substr(reading, at, CASE WHEN seg < {edits} THEN len DIV {n} ELSE len - seg * (len DIV {n}) END) AS part
-            FROM (SELECT reading, len, seg, seg * (len DIV {n}) + 1 + shift AS at
-                  FROM (SELECT reading, len, seg, greatest(-seg, length(reading) - len - {edits} + seg) AS lo, least(seg, length(reading) - len + {edits} - seg) AS hi FROM {{r}}
-                        LATERAL VIEW explode(sequence(greatest({n}, length(reading) - {edits}), greatest({n}, length(reading) + {edits}))) l AS len
-                        LATERAL VIEW explode(sequence(0, {edits})) s AS seg)
+        f"""SELECT reading, len, seg, substr(reading, at, CASE WHEN seg < k THEN len DIV (k + 1) ELSE len - seg * (len DIV (k + 1)) END) AS part
+            FROM (SELECT reading, len, k, seg, seg * (len DIV (k + 1)) + 1 + shift AS at
+                  FROM (SELECT reading, len, k, seg, greatest(-seg, length(reading) - len - k + seg) AS lo, least(seg, length(reading) - len + k - seg) AS hi
+                        FROM (SELECT reading, len, {allowed("len", 2)} AS k FROM {{r}}
+                              LATERAL VIEW explode(sequence(greatest({least}, length(reading) - {edits}), greatest({least}, length(reading) + {edits}))) l AS len)
+                        LATERAL VIEW explode(sequence(0, k)) s AS seg WHERE k > 0 AND abs(length(reading) - len) <= k)
                   LATERAL VIEW explode(CASE WHEN lo <= hi THEN sequence(lo, hi) END) d AS shift)
             WHERE at >= 1 AND at <= length(reading)""",
         r=spread(open_.select("reading").distinct(), "reading"),
     )
+    pairs = run_sql(spark, "SELECT DISTINCT p.reading, s.entry_id, s.text FROM {p} p JOIN {s} s ON p.len = s.len AND p.seg = s.seg AND p.part = s.part", p=probes, s=segments)
     near = run_sql(
         spark,
-        f"""SELECT *, levenshtein(reading, text, {edits}) AS edits
-            FROM (SELECT DISTINCT p.reading, s.entry_id, s.text FROM {{p}} p JOIN {{s}} s ON p.len = s.len AND p.seg = s.seg AND p.part = s.part)
-            WHERE levenshtein(reading, text, {edits}) BETWEEN 0 AND {edits}""",
-        p=probes, s=segments,
+        f"""SELECT *, levenshtein(reading, text, {edits}) AS edits FROM {{p}} WHERE levenshtein(reading, text, {edits}) BETWEEN 0 AND {allowed("length(text)", 2)}""",
+        p=spread(pairs, "reading"),
     )
     # The candidates are written once: the plan stays small and levenshtein runs once per pair.
     near = write_shared(near, "near")
     letters = run_sql(
         spark,
         f"""SELECT *, {_only_in("reading", "text")} AS added, {_only_in("text", "reading")} AS missing, levenshtein({jamo("reading")}, {jamo("text")}) AS changed FROM {{n}}
-            WHERE size(array_except(split(reading, ''), split(text, ''))) <= {slips} AND size(array_except(split(text, ''), split(reading, ''))) <= {slips}""",
+            WHERE size(array_except(split(reading, ''), split(text, ''))) <= {most} AND size(array_except(split(text, ''), split(reading, ''))) <= {most}""",
         n=spread(near, "reading"),
     )
     # Written, because a filter on what follows would be pushed down and compute all this once per mention.
@@ -104,11 +105,7 @@ def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame |
            FROM {j}""",
         j=judged,
     )
-    meant = run_sql(
-        spark,
-        f"""SELECT * FROM {{c}} WHERE slips <= CASE WHEN length(text) < 6 THEN 0 WHEN length(text) < 10 THEN 1 ELSE {slips} END""",
-        c=counted,
-    )
+    meant = run_sql(spark, f"""SELECT * FROM {{c}} WHERE slips <= {allowed("length(text)", 1)}""", c=counted)
     cases = run_sql(spark, "SELECT o.value, k.entry_id, k.slips, k.changed FROM {o} o JOIN {k} k ON o.reading = k.reading", o=open_, k=meant)
     cases = write_shared(cases, "cases")
     if places is not None:
