@@ -66,13 +66,17 @@ def closest_entries(readings: DataFrame, entries: DataFrame, places: DataFrame |
                         LATERAL VIEW explode(sequence(0, k)) s AS seg WHERE k > 0 AND abs(length(reading) - len) <= k)
                   LATERAL VIEW explode(CASE WHEN lo <= hi THEN sequence(lo, hi) END) d AS shift)
             WHERE at >= 1 AND at <= length(reading)""",
-        r=spread(open_.select("reading").distinct(), "reading"),
+        # Written before they are spread, or the few tasks of the distinct would do for all that follows; spread by
+        # the reading, so that nothing below moves the pairs again.
+        r=spread(write_shared(open_.select("reading").distinct(), "asked"), "reading"),
     )
     pairs = run_sql(spark, "SELECT DISTINCT p.reading, s.entry_id, s.text FROM {p} p JOIN {s} s ON p.len = s.len AND p.seg = s.seg AND p.part = s.part", p=probes, s=segments)
+    # Grouped, because a plain filter would be moved before the distinct and verify every repetition of a pair.
     near = run_sql(
         spark,
-        f"""SELECT *, levenshtein(reading, text, {edits}) AS edits FROM {{p}} WHERE levenshtein(reading, text, {edits}) BETWEEN 0 AND {allowed("length(text)", 2)}""",
-        p=spread(pairs, "reading"),
+        f"""SELECT reading, entry_id, text, min(levenshtein(reading, text, {edits})) AS edits FROM {{p}} GROUP BY reading, entry_id, text
+            HAVING min(levenshtein(reading, text, {edits})) BETWEEN 0 AND {allowed("length(text)", 2)}""",
+        p=pairs,
     )
     # The candidates are written once: the plan stays small and levenshtein runs once per pair.
     near = write_shared(near, "near")
