@@ -106,5 +106,5 @@ def judge_rule(old: Column, new: Column, pair_day: Column, own_day: Column, othe
     """Judge a clause of an administrative rule: changed by a comparison newer than the ordinance, else the verdict ``otherwise``, both marked as of a rule."""
     dashed = F.concat_ws("-", F.substring(pair_day, 1, 4), F.substring(pair_day, 5, 2), F.substring(pair_day, 7, 2))
     changed = verdict("timing", "review", "내용변경", say(DETAIL["rule_changed"], own=own_day, day=dashed), F.substring(old, 1, SHOWN), pair_day)
-    marked = F.struct(*[(say(DETAIL["rule"], detail=otherwise[f]) if f == "detail" else otherwise[f]).alias(f) for f in FIELDS])
-    return F.when(rule_changed(old, new, pair_day, own_day), changed).otherwise(marked)
+    marked = lambda v: F.struct(*[(say(DETAIL["rule"], detail=v[f]) if f == "detail" else v[f]).alias(f) for f in FIELDS])
+    return F.when(rule_changed(old, new, pair_day, own_day), changed).otherwise(let(otherwise, marked))
