@@ -306,6 +306,12 @@ def list_sorted_by_date(spark: SparkSession, sf: str, newest: bool = False) -> D
     return scan(spark, sf).select("mst", F.nullif(F.trim("enforce_date"), F.lit("")).alias("day")).orderBy(day, "mst")
 
 
+@R.query(R.oracles["list_sorted_by_date"])
+def list_all_by_date(spark: SparkSession, sf: str) -> DataFrame:
+    """The same list under the name it was first whole by."""
+    return list_sorted_by_date(spark, sf)
+
+
 _RANK = "CASE severity WHEN 'mechanical' THEN 0 WHEN 'review' THEN 1 WHEN 'check' THEN 2 WHEN 'current' THEN 3 ELSE 4 END"
 
 
